@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.llm import bpe, token_count
+from casemill.llm import bpe, fair_mix, hilbert, pii, token_count
 from casemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,13 +18,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.report(table(spark, sf_dir, "documents"))
+
+
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.report(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_hilbert": op2_hilbert,
+    "op7_fair_mix": op7_fair_mix,
     "op9_token_count": op9_token_count,
+    "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_fair_mix": fair_mix.ORACLE,
+}

@@ -1,0 +1,64 @@
+"""Operator 10 against the plain patterns."""
+
+import hashlib
+import random
+import re
+
+from casemill.llm import pii
+
+# The patterns as the contract states them.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for kind, p in PLAIN.items():
+        for m in re.finditer(p, text):
+            s = m[0]
+            d = re.sub("[^0-9]", "", s)
+            if kind == "ip" and any(int(x) > 255 for x in s.split(".")):
+                continue
+            if kind == "card" and not (16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(3)
+    pieces = ["a.b@c.d", "@", "x@y", ".", "1.2.3.4", "300.1.1.1", "4785380592391139", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (988) 555-2485", "+", " ", "é🙂", "-", "0001.02.3.4", "a", "9", "(", "001.2.3.4.5.6.7.8"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        got = [s[:3] for s in pii.spans_of(text) if s[0] in pii.BASE]
+        assert got == plain(text), repr(text)
+
+
+def test_added_kinds_checks_and_scores():
+    text = "my iban DE89 3704 0044 0532 0130 00 ok, not DE88370400440532013000; social security 078-05-1120 and 078-05-1120000"
+    found = [(s[0], text[s[1] : s[2]]) for s in pii.spans_of(text)]
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in found and ("ssn", "078-05-1120") in found and len([k for k, _ in found if k == "iban"]) == 1
+    near, far = pii.spans_of("call me: phone +1 988 555 2485")[0], pii.spans_of("x +1 988 555 2485")[0]
+    assert near[3] > far[3]
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a." * 100_000 + "@", "1." * 100_000, "+1" * 100_000, "+" + "(" * 200_000):
+        pii.spans_of(text)
+
+
+def test_frames(spark):
+    rows = [(1, "write to a@b.co or 10.0.0.1", 5), (2, None, 6), (3, "", 7), (1, "write to a@b.co or 10.0.0.1", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii int")
+    got = pii.report(df).collect()
+    want = "email:9:15,ip:19:27"
+    assert [r.spans for r in got] == [want, "", "", want]
+    assert got[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert [r.text for r in pii.find(df, masked="text").orderBy("doc_id").collect()] == ["write to <EMAIL> or <IP>"] * 2 + [None, ""]
+    assert pii.report(df.limit(0)).count() == 0
