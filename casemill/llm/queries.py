@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.llm import bpe, decision_list, fair_mix, hilbert, pii, token_count
+from casemill.llm import bpe, decision_list, fair_mix, hilbert, pii, token_count, toxicity
 from casemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_hilbert": op2_hilbert,
+    "op3_toxicity": op3_toxicity,
     "op6_decision_list": op6_decision_list,
     "op7_fair_mix": op7_fair_mix,
     "op9_token_count": op9_token_count,
