@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casemill.llm import bpe, decision_list, fair_mix, hilbert, pii, token_count, toxicity
+from casemill.llm import bpe, decision_list, fair_mix, hilbert, pii, prefix_forest, token_count, toxicity
 from casemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_hilbert": op2_hilbert,
     "op3_toxicity": op3_toxicity,
+    "op5_prefix_forest": op5_prefix_forest,
     "op6_decision_list": op6_decision_list,
     "op7_fair_mix": op7_fair_mix,
     "op9_token_count": op9_token_count,
