@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import bpe, decision_list, fair_mix, hilbert, pii, prefix_forest, token_count, toxicity
+from casemill.llm import bpe, chosen_path, decision_list, fair_mix, hilbert, pii, prefix_forest, token_count, toxicity
 from casemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_hilbert": op2_hilbert,
     "op3_toxicity": op3_toxicity,
+    "op4_chosen_path": op4_chosen_path,
     "op5_prefix_forest": op5_prefix_forest,
     "op6_decision_list": op6_decision_list,
     "op7_fair_mix": op7_fair_mix,
