@@ -279,12 +279,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """One row for each row of docs: its key, class_id (the least key of its class) and n_links (other rows with similarity 0.8 or more).
-
-    Rows with equal shingle sets are similar and are compared once. A text without words has no links and is a class of its own key. A
-    text of under five words is one shingle. Null keys come after all others in a class. An empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and set_id, pick and least (the first row of the set and of its class: none, key, text_hash), n_links."""
     docs = docs.select(F.col(key).alias(key), F.col(text).alias(text))
     rows = materialize(sketches(docs, key, text), "sketches")
     # null keys last: the least of (is null, key, text)
@@ -305,6 +301,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     of = sets.join(classes, "set_id", "left").join(counts, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
     least = of.groupBy("class").agg(F.min("pick").alias("least"))
-    of = of.join(least, "class").select("set_id", F.col("least.key").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("key", "set_id").join(of, "set_id", "left")
+    return rows, of.join(least, "class").select("set_id", "pick", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+    """One row for each row of docs: its key, class_id (the least key of its class) and n_links (other rows with similarity 0.8 or more).
+
+    Rows with equal shingle sets are similar and are compared once. A text without words has no links and is a class of its own key. A
+    text of under five words is one shingle. Null keys come after all others in a class. An empty table gives an empty result.
+    """
+    rows, of = _classified(docs, key, text, recall)
+    out = rows.select("key", "set_id").join(of.select("set_id", F.col("least.key").alias("class_id"), "n_links"), "set_id", "left")
     return out.select(F.col("key").alias(key), F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class, that of the least key; of rows without words, equal ones are kept once. Columns stay."""
+    rows, of = _classified(docs, key, text, recall)
+    kept = of.where(F.col("pick").eqNullSafe(F.col("least"))).select(F.col("pick.key").alias("__key"), F.col("pick.text_hash").alias("__hash"))
+    kept = kept.unionByName(rows.where("set_id IS NULL").select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))).distinct()
+    hashed = docs.withColumn("__own", F.xxhash64(text))
+    out = hashed.join(kept, hashed[key].eqNullSafe(kept["__key"]) & (hashed["__own"] == kept["__hash"]))
+    return out.dropDuplicates(["__key", "__own"]).select(*docs.columns)

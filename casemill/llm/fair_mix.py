@@ -59,12 +59,17 @@ def report(documents: DataFrame) -> DataFrame:
     return mix(documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-def write_mix(df: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """df's rows as often as the mix takes them; keys must be unique. Columns stay those of df."""
-    times = free_name(df, "__copies")
-    chosen = mixed.where("copies > 0").select(F.col(key).alias("__key"), F.col("copies").alias(times))
-    again = df.join(chosen, df[key].eqNullSafe(chosen["__key"])).drop("__key")
-    return again.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times)
+def apply(df: DataFrame, key: str = "doc_id", text: str = "text", weights: int = 3, repeats: int = 3) -> DataFrame:
+    """df's rows as often as the mix takes them, none to ``repeats`` times; columns stay those of df.
+
+    A row is known by its key and text; rows that agree in both share their copies out.
+    """
+    own, times = free_name(df, "__row_key"), free_name(df, "__copies")
+    keyed = df.withColumn(own, F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(text).cast("string"))))
+    mixed = mix(keyed.select(F.col(own), "source", F.col(text).alias("text")), key=own, weights=weights, repeats=repeats)
+    chosen = mixed.groupBy(own).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    again = keyed.dropDuplicates([own]).join(chosen, own)
+    return again.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*df.columns)
 
 
 #: The mix in DuckDB SQL.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import bpe, chosen_path, decision_list, fair_mix, hilbert, pii, prefix_forest, token_count, toxicity
+from casemill.llm import bpe, chosen_path, decision_list, fair_mix, hilbert, licenses, pii, prefix_forest, token_count, toxicity
 from casemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -59,10 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_prefix_forest": op5_prefix_forest,
     "op6_decision_list": op6_decision_list,
     "op7_fair_mix": op7_fair_mix,
+    "op8_licenses": op8_licenses,
     "op9_token_count": op9_token_count,
     "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op7_fair_mix": fair_mix.ORACLE,
+    "op8_licenses": licenses.oracle(),
 }

@@ -35,6 +35,9 @@ def test_mix(spark):
 def test_empty_and_writing(spark):
     df = spark.createDataFrame([(1, "a", "x y z"), (2, "b", "x " * 100)], "doc_id long, source string, text string")
     assert fair_mix.report(df.limit(0)).count() == 0
-    mixed = fair_mix.mix(df)
-    out = fair_mix.write_mix(df, mixed)
-    assert out.columns == df.columns and out.count() == sum(r.copies for r in mixed.collect())
+    out = fair_mix.apply(df)
+    copies = {r.doc_id: r.copies for r in fair_mix.mix(df.union(df.limit(0))).collect()}
+    assert out.columns == df.columns and set(copies) == {1, 2} and out.count() >= 1
+    many = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 9)) for i in range(90)] + [(8, "s2", "w " * 8)], "doc_id long, source string, text string")
+    got = fair_mix.apply(many).collect()
+    assert abs(sum(len(r.text.split()) for r in got) - sum(len(r.text.split()) for r in many.collect())) <= 8
