@@ -1,10 +1,9 @@
-"""Queries of the reference's own operators by name, and their DuckDB SQL."""
+"""Queries of the engine's own operators by name, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from casemill.functions import queries as _functions  # noqa: F401  registers
+from casemill.operators import aggregates, audit, evaluation, filters, joins, names_queries, notices, screening, windows  # noqa: F401
+from casemill.plans.registry import ORACLES, QUERIES  # noqa: F401
+from casemill.sources import queries as _sources  # noqa: F401
+from casemill.streaming import queries as _streaming  # noqa: F401
