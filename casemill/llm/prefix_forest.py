@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a segment, queries of a block.
-SEGMENT, BLOCK = 16_384, 8_192
-#: Trees, bits of a hash string, and the share of a segment that a query looks at. On vectors without any structure, where the twentieth
-#: neighbour is hardly nearer than the rest, less than this share misses a tenth of the neighbours.
-TREES, BITS, SHARE = 48, 20, 0.35
+SEGMENT, BLOCK = 16_384, 4_096
+#: Trees, bits of a hash string, and the least share of a segment that a query looks at. On vectors without any structure, where the
+#: twentieth neighbour is hardly nearer than the rest, less than this share misses a tenth of the neighbours; more trees meet at longer
+#: prefixes, which tell neighbours from others better.
+TREES, BITS, SHARE = 160, 20, 0.35
 LEAST_CANDIDATES = 400
 
 
