@@ -155,7 +155,10 @@ def _joined(found: list[tuple[str, int, int, float]]) -> str:
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: counts of the base kinds, a digest of the base spans, and all spans as kind:start:end (code points, end exclusive)."""
+    """One row a document: counts of the base kinds, a digest of the base spans, all spans as kind:start:end (code points, end exclusive), and their scores.
+
+    Null and empty texts have no spans; repeated rows each give a row; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,9 +166,10 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             base = [[s for s in x if s[0] in BASE] for x in found]
             counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in BASE]
             shas = pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, shas, pa.array(map(_joined, found), pa.string())], names=[key, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            scores = pa.array([",".join(str(s[3]) for s in x) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, shas, pa.array(map(_joined, found), pa.string()), scores], names=[key, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, scores string")
 
 

@@ -59,6 +59,7 @@ def test_frames(spark):
     got = pii.report(df).collect()
     want = "email:9:15,ip:19:27"
     assert [r.spans for r in got] == [want, "", "", want]
+    assert [r.scores for r in got] == ["1.0,0.6", "", "", "1.0,0.6"]
     assert got[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert [r.text for r in pii.find(df, masked="text").orderBy("doc_id").collect()] == ["write to <EMAIL> or <IP>"] * 2 + [None, ""]
     assert pii.report(df.limit(0)).count() == 0
