@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import free_name, prefix_sums, word_count
+from casemill.llm.common import free_name, materialize, prefix_sums, word_count
 
 
 def targets(sizes: DataFrame, weights: int = 3, repeats: int = 3) -> DataFrame:
@@ -39,6 +39,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: Column
     """
     size = word_count(F.col("text")) if size is None else size
     docs = df.select(F.col(key).alias(key), F.col(source).cast("string").alias("source"), size.alias("size")).withColumn("__h", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    docs = materialize(docs, "mix-rows")  # without texts: words are counted once
     order = [F.col("source").isNull().cast("int"), F.col("source"), F.col("__h"), F.col(key), F.col("size")]
     placed = prefix_sums(docs, order, {"__row": F.lit(1), "__upto": F.col("size")}, "mix-shuffled")
     of = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumnRenamed("source", "__source")
