@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Entries of each generation of a worker's caches.
 CACHE = 300_000
+#: Entries of the table of compatible pairs, which is filled as pairs are met.
+PAIRS = 400_000
 #: Unicode white space, as the tokenizers' patterns know it; str.split also cuts at four ASCII control characters.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTROL = regex.compile(r"[\x1c-\x1f]")
@@ -111,7 +113,7 @@ class BacktrackingBpe:
                 limit, right = right + 1, self.parts[right][0]
             else:
                 fits = True
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) >= PAIRS:
             self.compatible.clear()
         self.compatible[a, b] = fits
         return fits
