@@ -73,7 +73,7 @@ def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupingSets(sets, "severity", "action", "resolution").agg(F.count("*").alias("n"), F.grouping_id("severity", "action", "resolution").alias("level"))
 
 
-@query("agg_rollup_total", f"WITH {CASES} SELECT coalesce(district, 'All') AS district, count(*) AS n, sum(priority) AS priority FROM cases WHERE district IS NOT NULL GROUP BY ROLLUP(district)")
+@query("agg_rollup_total", f"WITH {CASES} SELECT coalesce(district, 'All') AS district, count(*) AS n, sum(priority)::BIGINT AS priority FROM cases WHERE district IS NOT NULL GROUP BY ROLLUP(district)")
 def agg_rollup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).where("district IS NOT NULL").rollup("district").agg(F.count("*").alias("n"), F.sum("priority").alias("priority")).withColumn("district", F.coalesce("district", F.lit("All")))
 
