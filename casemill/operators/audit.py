@@ -21,18 +21,19 @@ KEY = b"casemill-demo-key"
 FIELDS = ("audit_id", "actor", "action", "after_json")
 
 
-def seal(log: DataFrame, chain: str, key: bytes = KEY) -> DataFrame:
+def seal(log: DataFrame, chain: str, key: bytes = KEY, heads: DataFrame | None = None) -> DataFrame:
     """Each chain's rows in order with prev_hash and hash: HMAC-SHA256 over the hash before and the row as a JSON array.
 
     A chain is inherently sequential; many chains (one a case) are sealed side by side, each streamed in sorted order without being gathered.
+    heads has the chain and the hash that its next row follows; a chain without one begins anew.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple[object, str] = (None, "genesis")
         for f in frames:
             before, own = [], []
-            for row in f[[chain, *FIELDS]].itertuples(index=False):
-                prev = last[1] if row[0] == last[0] else "genesis"
+            for head, row in zip(f.pop("__head"), f[[chain, *FIELDS]].itertuples(index=False)):
+                prev = last[1] if row[0] == last[0] else head
                 body = json.dumps([x.item() if hasattr(x, "item") else x for x in row[1:]], ensure_ascii=False, separators=(",", ":"))
                 digest = hmac.new(key, f"{prev}\n{body}".encode(), hashlib.sha256).digest()
                 last = (row[0], base64.urlsafe_b64encode(digest).decode().rstrip("="))
@@ -42,6 +43,10 @@ def seal(log: DataFrame, chain: str, key: bytes = KEY) -> DataFrame:
 
     rows = log.select(chain, *FIELDS)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", prev_hash string, hash string"
+    if heads is None:
+        rows = rows.withColumn("__head", F.lit("genesis"))
+    else:
+        rows = rows.join(heads.select(chain, F.col("hash").alias("__head")), chain, "left").na.fill("genesis", ["__head"])
     return rows.repartition(chain).sortWithinPartitions(chain, "audit_id").mapInPandas(run, schema)
 
 

@@ -93,6 +93,38 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
+def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
+    """Rows of old whose parent has no new rows, and all new ones: a parent's rows are replaced together, however many there are."""
+    return new.unionByName(old.join(new.select(parent).distinct(), parent, "left_anti"))
+
+
+def delete_cascade(children: DataFrame, gone: DataFrame, parent: str) -> DataFrame:
+    """children whose parent is not among those gone."""
+    return children.join(gone.select(parent), parent, "left_anti")
+
+
+def sql(spark: SparkSession, text: str, **values: object) -> DataFrame:
+    """Parameterised SQL; values fill :name markers and are never pasted into the text."""
+    return spark.sql(text, args=values)
+
+
+def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
+    """A table of a relational database (its driver on the class path), read in ranges of a numeric key side by side."""
+    parts = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize="10000", **parts, **options).load()
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one JSON file; for aggregates of a few rows. Spark's commit makes the replacement atomic for readers of the folder."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def markdown(df: DataFrame, most: int = 200) -> str:
+    """A small result as a markdown table, at most so many rows; nulls are blank."""
+    rows = [df.columns, ["---"] * len(df.columns), *([("" if v is None else str(v)) for v in r] for r in df.limit(most).collect())]
+    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+
+
 def write_log(df: DataFrame, path: str) -> None:
     """One JSON object a line, full identifiers redacted first."""
     df.select(redact_id(F.to_json(F.struct("*"))).alias("value")).write.text(path)

@@ -107,9 +107,13 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(*[f"{v} AS {k}" for k, v in extraction_columns(False).items()])
 
 
+#: The audit log's columns over the events table.
+AUDIT_COLUMNS = ("event_id AS audit_id", "concat('officer:', CAST(user_id AS STRING)) AS actor", "event_type AS action", "value", "props AS after_json", "event_id % 500 AS case_id")
+
+
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an action, append-only."""
-    return table(spark, sf_dir, "events").selectExpr("event_id AS audit_id", "concat('officer:', CAST(user_id AS STRING)) AS actor", "event_type AS action", "value", "props AS after_json", "event_id % 500 AS case_id")
+    return table(spark, sf_dir, "events").selectExpr(*AUDIT_COLUMNS)
 
 
 CASES = f"cases AS (SELECT {_select(case_columns(True))} FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"

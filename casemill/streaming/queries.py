@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from casemill.operators.joins import latest
 from casemill.plans.registry import query
+from casemill.sources.views import AUDIT, AUDIT_COLUMNS
 from casemill.streaming.events import events, progress, settle
+from casemill.streaming.stateful import lockout, rate_limit, seal_stream
 
 
 @query("stream_event_filter", "SELECT event_id, event_type FROM events WHERE event_type = 'signup' OR user_id = 42")
@@ -39,3 +41,27 @@ CASE WHEN max_by(event_type, event_id) = 'error' THEN 'error' ELSE 'ok' END AS s
 def stream_progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = settle(progress(events(spark, sf_dir)), "update", "progress")
     return latest(out, ["case_id"], ["batch"]).select("case_id", "stage", "status", "applied")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") != "error").alias("ok"))
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two events an hour for each user, the hour beginning at the first."""
+    return latest(settle(rate_limit(_timed(spark, sf_dir), 2, 3600), "update", "limits"), ["key"], ["batch"]).select("key", "total", "refused")
+
+
+@query("stream_lockout")
+def stream_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two failures in a row lock a user out for a day."""
+    return latest(settle(lockout(_timed(spark, sf_dir), 2, 86_400), "update", "locks"), ["key"], ["batch"]).select("key", "locks", "turned_away")
+
+
+@query("stream_seal", f"WITH {AUDIT} SELECT case_id, audit_id, row_number() OVER (PARTITION BY case_id ORDER BY audit_id) = 1 AS first_of_chain FROM audit_log")
+def stream_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log sealed as it comes in."""
+    sealed = seal_stream(events(spark, sf_dir).selectExpr(*AUDIT_COLUMNS), "case_id")
+    return sealed.select("case_id", "audit_id", (F.col("prev_hash") == "genesis").alias("first_of_chain"))
