@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import free_name, prefix_sums
+from casemill.llm.common import free_name, materialize, prefix_sums
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -110,5 +110,6 @@ def report(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     meta = documents.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    meta = materialize(meta, "hilbert-rows")  # without texts: each is read once
     placed = shards(meta, ["lang", "source"], "size", [F.col("text_crc32"), F.col("doc_id"), F.col("size")], n_shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
