@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.common import with_columns
+
 #: Entries of each generation of a worker's caches.
 CACHE = 300_000
 #: Entries of the table of compatible pairs, which is filled as pairs are met.
@@ -233,8 +235,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
             kept = [n for n in b.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), values], names=[*kept, ids])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != ids)
-    return df.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    return df.mapInArrow(run, with_columns(df, (), **{ids: "array<int>"}))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -247,8 +248,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
             kept = [n for n in b.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(out, pa.string())], names=[*kept, text])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
-    return df.mapInArrow(run, f"{schema}, `{text}` string")
+    return df.mapInArrow(run, with_columns(df, (), **{text: "string"}))
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

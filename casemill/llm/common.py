@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +43,12 @@ def drop(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def with_columns(df: DataFrame, without: tuple[str, ...] | list[str] | set[str], **added: str) -> T.StructType:
+    """The schema of df without some columns and with others, for functions over Arrow batches; any names and types are carried."""
+    kept = [T.StructField(f.name, f.dataType) for f in df.schema if f.name not in without and f.name not in added]
+    return T.StructType([*kept, *[T.StructField(n, T._parse_datatype_string(k)) for n, k in added.items()]])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it."""
     taken = {c.lower() for c in df.columns}

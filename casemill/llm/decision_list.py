@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.common import with_columns
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -78,8 +80,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
             rows = np.array([counts_of(x.as_py()) for x in b.column(text)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *(pa.array(c) for c in rows.T)], names=[*(f.name for f in kept), *COUNTS])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} long" for c in COUNTS])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, with_columns(df, COUNTS, **dict.fromkeys(COUNTS, "long")))
 
 
 def ratios() -> dict[str, Column]:

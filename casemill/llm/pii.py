@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.llm.common import with_columns
+
 #: Base kinds in the order of the digest; then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -146,8 +148,7 @@ def find(df: DataFrame, text: str = "text", spans: str = "pii", masked: str | No
                 columns.append(pa.array([mask(x, s) if x and s else x for x, s in zip(texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *added])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{k}` {v}" for k, v in added.items()])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, with_columns(df, (), **added))
 
 
 def _joined(found: list[tuple[str, int, int, float]]) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.bpe import Recent
-from casemill.llm.common import drop, materialize
+from casemill.llm.common import drop, materialize, with_columns
 
 #: At most so many labelled rows train the classifier, those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
@@ -147,8 +147,7 @@ def features(df: DataFrame, lexicon: dict[str, float], text: str = "text") -> Da
             rows = np.array([of(x.as_py()) for x in b.column(text)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *(pa.array(c) for c in rows.T)], names=[*(f.name for f in kept), *FEATURES])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} double" for c in FEATURES])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, with_columns(df, (text,), **dict.fromkeys(FEATURES, "double")))
 
 
 class Model:

@@ -16,10 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that neither the base rule nor a learned rule rejects; a null or empty text is rejected."""
+    """Rows that neither the base rule nor a learned rule rejects; a null or empty text is rejected. Columns named like counts stay as they are."""
     rules = decision_list.train(docs, table(spark, sf_dir, "labels"))
-    kept = decision_list.statistics(docs).where(~decision_list.base_failed() & decision_list.expression(rules))
-    return kept.select(*docs.columns)
+    whole = docs.select("text", F.struct("*").alias("row"))
+    kept = decision_list.statistics(whole).where(~decision_list.base_failed() & decision_list.expression(rules))
+    return kept.select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,20 @@ def test_run_and_empty_table(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, sf):
+    """Nulls in every column, repeated rows, a very long text and columns named like the operators' own go through each stage and stay."""
+    rows = [(i, " ".join(f"a{i}b{k}" for k in range(30)), "en", f"s{i % 2}", 1) for i in range(20)]
+    rows += [(None, "null key " + " ".join(map(str, range(40))), None, None, None), (3, rows[3][1], "en", "s1", 1), (3, rows[3][1], "en", "s1", 1), (50, " ".join(f"long{k}" for k in range(60_000)), "de", "s1", 2)]
+    odd = ["n_words", "kept", "size", "copies", "key", "class_id", "pii", "token_ids", "score", "taken", "target", "node"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"CAST(doc_id AS STRING) AS `{c}`" for c in odd])
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        got = docs.collect()
+        assert docs.columns == columns and got, name
+        assert all(r[c] == (None if r.doc_id is None else str(r.doc_id)) for r in got for c in odd), name
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or -1 for r in got)) == sorted([-1, *range(1, 20), 50, -1])
+    assert {r.doc_id for r in cp.encode(spark, docs, sf).collect()} == {r.doc_id for r in got}
