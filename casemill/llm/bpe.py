@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from casemill.llm.common import with_columns
 
 #: Entries of each generation of a worker's caches.
-CACHE = 300_000
+CACHE = 250_000
 #: Entries of the table of compatible pairs, which is filled as pairs are met.
 PAIRS = 400_000
 #: Unicode white space, as the tokenizers' patterns know it; str.split also cuts at four ASCII control characters.
@@ -148,17 +148,17 @@ class BacktrackingBpe:
 
 
 class Recent(dict):
-    """A cache of make(key) in two generations: what is used again outlives the rest, and at most 2 * CACHE entries stay."""
+    """A cache of make(key) in two generations: what is used again outlives the rest, and at most 2 * size entries stay."""
 
-    def __init__(self, make: Callable[[str], object]):
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable[[str], object], size: int = CACHE):
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key: str) -> object:
         if (value := self.old.get(key)) is None:
             value = self.make(key)
             if len(key) > 100:
                 return value
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -184,7 +184,7 @@ class WordTokenizer:
         self.strings = OffsetTable([strings.get(i, "").encode() + b" " for i in range(size)])
         self.width, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
         self.escape = {i: c for i, c in enumerate(self.chars) if chr(i) != c}
-        self.words, self.chunks = Recent(self.of_word), Recent(self.of_chunk)
+        self.words, self.chunks = Recent(self.of_word, CACHE // 3), Recent(self.of_chunk)
         self.split = regex.compile(f"[^{SPACE}]+").findall
 
     def of_word(self, word: str) -> bytes:

@@ -18,9 +18,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that neither the base rule nor a learned rule rejects; a null or empty text is rejected. Columns named like counts stay as they are."""
     rules = decision_list.train(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select("text", F.struct("*").alias("row"))
+    whole = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     kept = decision_list.statistics(whole).where(~decision_list.base_failed() & decision_list.expression(rules))
-    return kept.select("row.*")
+    return kept.select(*[c if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
