@@ -117,7 +117,8 @@ def leaves(sets: DataFrame, runs: int) -> DataFrame:
     at = sets.select("set_id", "minima", F.explode(roots).alias("parent")).select("set_id", F.lit(1 << 62).alias("above"), F.explode(_children(F.col("parent"), F.col("minima"))).alias("node"))
     out = []
     for depth in range(1, DEPTH + 1):
-        sizes = at.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        # counts are written first: a join of two plain shuffles is one that Spark splits where a node is large
+        sizes = materialize(at.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{depth}")
         members = materialize(at.join(sizes, "node"), f"paths-{depth}")
         done = (F.col("size") <= SMALL) | (F.col("size") > STUCK * F.col("above")) if depth < DEPTH else F.lit(True)
         out.append(members.where(done).select("node", "set_id", "size"))
