@@ -63,6 +63,10 @@ RULES = (
 )
 END, OTHER = r"[.!?]+([ \t\r\n]+|\z)", r"[^a-z0-9\x01]+"
 ALL = "|".join(f"(?:{p})" for p, *_ in RULES)
+#: Where a known sentence goes on after a blank line: sentence H, which licence files set as two paragraphs.
+JOINED = r"(subject[ \t\r\n]+to[ \t\r\n]+the[ \t\r\n]+following[ \t\r\n]+conditions:)[ \t\r\n]+(?=the[ \t\r\n]+above[ \t\r\n]+copyright[ \t\r\n]+notice)"
+#: Words of which every known sentence holds one, however it is wrapped.
+HINT = "licen[sc]e|permission|permitted|free[^a-z0-9]+software|warrant|copyright|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain"
 
 
 def normalised(sentence: str) -> str:
@@ -82,7 +86,7 @@ def table() -> dict[str, str]:
 def identifiers(text: Column, wrapped: bool) -> Column:
     """Identifiers of the known sentences of a text, in order, as one string; ``wrapped`` reads single line breaks as blanks."""
     known = table()
-    low = F.lower(text)
+    low = F.regexp_replace(F.lower(text), JOINED, "$1 ")
     low = F.regexp_replace(low, r"\n[ \t\r]*\n", "\x01") if wrapped else F.translate(low, "\n", "\x01")
     cut = F.regexp_replace(F.regexp_replace(low, END, "\x01"), OTHER, " ")
     parts = F.filter(F.transform(F.split(cut, "\x01"), lambda s: F.trim(s)), lambda s: s.isin(*known))
@@ -110,7 +114,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     texts = F.coalesce(F.col(text), F.lit(""))
     # one cheap look for a word that every known sentence holds spares most texts the rest
-    hint = F.lower(texts).rlike("licen[sc]e|permission|permitted|free software|warrant|copyright|rights reserved|public domain")
+    hint = F.lower(texts).rlike(HINT)
     ids = [F.when(hint, identifiers(texts, w)).otherwise("") for w in (False, True)]
     out = df.select(F.col(key).alias(key), ids[0].alias("__a"), ids[1].alias("__b"))
     licenses = F.array_sort(F.array_distinct(F.concat(of_rules(F.col("__a")), of_rules(F.col("__b")))))

@@ -42,3 +42,92 @@ def test_scan_and_sql(spark):
 def test_every_known_sentence_is_found(spark):
     df = spark.createDataFrame(list(li.SENTENCES.items()), "doc_id string, text string")
     assert [r.doc_id for r in li.scan(df).where("n_sentences <> 1").collect()] == []
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+"""
+AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+MIT = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + GRANT + AS_IS
+BSD = """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+ISC = """Copyright 2020 Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+GPL = """    This program is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation%s either version %d of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+FILES = [
+    (MIT, "MIT"),
+    (MIT.replace("\n", "\r\n"), "MIT"),
+    (GRANT, "MIT"),
+    (MIT.replace("conditions:\n\n", "conditions:\n"), "MIT"),
+    ("\n\n".join(" ".join(x.split()) for x in MIT.split("\n\n")), "MIT"),  # a paragraph a line
+    ("Released under the\nMIT License.\n\n" + MIT, "MIT"),
+    ("Licensed under the Apache License,\nVersion 2.0.", "Apache-2.0"),
+    (APACHE, "Apache-2.0"),
+    (BSD, "BSD-2-Clause"),
+    (BSD + BSD3, "BSD-3-Clause"),
+    (ISC, "ISC"),
+    (GPL % (":", ",", 3), "GPL-3.0-or-later"),
+    (GPL % (";", ";", 2), "GPL-2.0-or-later"),
+    ("This work is licensed under the GNU General\nPublic License, version 3.", "GPL-3.0-only"),
+    ("Licensed under\nCC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("Licensed under\nCC BY 4.0.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons\nAttribution 4.0 International License.", "CC-BY-4.0"),
+    ("Licensed under\nCC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed", "MPL-2.0"),
+    ("This is free and unencumbered software released into the public\ndomain.", "Unlicense"),
+    ("To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.", "CC0-1.0"),
+    ("Some prose. All rights\nreserved.", "proprietary"),
+    ("All  rights  reserved.", "proprietary"),
+]
+
+
+def test_wrapped_license_files(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FILES)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in li.scan(df).collect()}
+    assert {i: (FILES[i][0][:40], x) for i, x in got.items()} == {i: (t[:40], want) for i, (t, want) in enumerate(FILES)}
+    assert {name for _, name in FILES} == {name for _, name, _ in li.RULES}
