@@ -1,7 +1,7 @@
 """Personal data (operator 10): regular expressions propose spans, checksums and ranges confirm them, words nearby adjust the score.
 
 Base kinds are email, ip, card and phone, each leftmost and non-overlapping within its kind; a proposal that fails its check is dropped and
-not tried again. The method adds IBANs (mod-97) and social security numbers, which count only beside a context word. Base spans always stay: context
+not tried again. The method adds IBANs (country's length, mod-97) and social security numbers, which count only beside a context word. Base spans always stay: context
 moves their score, never their presence. Patterns are anchored so that each text takes linear time.
 """
 
@@ -26,8 +26,20 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Characters of an IBAN, by country.
+IBAN_LENGTHS = {
+    n: int(length)
+    for length, names in (
+        ("15", "NO"), ("16", "BE"), ("18", "DK FI FK FO GL NL SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU MN XK"), ("21", "CH HR LI LV"),
+        ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ OM SO TL"), ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"),
+        ("26", "IS TR"), ("27", "BI DJ FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HN HU LB NI PL SV"), ("29", "BR EG PS QA UA"),
+        ("30", "JO KW MU YE"), ("31", "MT SC"), ("32", "LC"), ("33", "RU"),
+    )
+    for n in names.split()
+}
+ALNUM = re.compile(r"[A-Za-z0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Words whose presence near a span makes it likelier, by kind; and words that make any number less likely to be personal.
 CONTEXT = {
@@ -73,6 +85,24 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs, which words in capitals and numbers may follow: cut to the country's length; of an unlisted country, the longest end at a word's end that holds."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if (start := m.start()) < done:
+            continue
+        length, n, ends = IBAN_LENGTHS.get(text[start : start + 2]), 4, []
+        for end in range(m.end() + 1, m.end(1) + 1):
+            n += text[end - 1] != " "
+            if text[end - 1] != " " and n >= 15 and n == (length or n) and not ALNUM.match(text, end):
+                ends.append(end)
+        for end in reversed(ends):
+            if mod97(text[start:end].replace(" ", "")):
+                yield start, end
+                done = end
+                break
+
+
 def confirmed(kind: str, text: str) -> bool:
     """Whether the checksum, range or length of a proposal holds."""
     if kind == "ip":
@@ -105,6 +135,8 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
             found = emails(text) if "@" in text else ()
         elif not digits or kind == "phone" and "+" not in text:
             continue
+        elif kind == "iban":
+            found = ibans(text)
         else:
             found = (m.span() for m in PATTERNS[kind].finditer(text))
         for a, b in found:
@@ -116,7 +148,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
 
 
 NUMBER = re.compile(r"[0-9]")
-PATTERNS = {"ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
+PATTERNS = {"ip": IP, "card": CARD, "phone": PHONE, "ssn": SSN}
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 

@@ -48,6 +48,23 @@ def test_added_kinds_checks_and_scores():
     assert near[3] > far[3]
 
 
+def test_ibans_end_where_their_country_says():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    ends = ["", " BIC COBADEFF", " 12 May", " I agree", " A", ".", " or", "\n12", f" {no}"]
+    for own in (de, gb, no, de.replace(" ", ""), gb.replace(" ", "")):
+        for end in ends:
+            text = f"iban {own}{end}"
+            assert [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"] == [own] + [no] * (no in end), text
+    # unlisted countries end at a word's end; a number of another length, or one that goes on, is none
+    own = next(x for i in range(100) if pii.mod97(x := f"ZZ{i:02}12345678901234"))
+    for end in ("", " I agree", " OK THEN"):
+        assert f"{own}{end}"[slice(*next(s[1:3] for s in pii.spans_of(f"{own}{end}") if s[0] == "iban"))].startswith(own)
+    for text in (de[:-1] + "1", de + "X", "X" + de, de[:-3], "DE89 TEXT IN CAPITALS ONLY"):
+        assert not [s for s in pii.spans_of(text) if s[0] == "iban"], text
+    text = f"pay {de} BIC COBADEFF"
+    assert pii.mask(text, pii.spans_of(text)) == "pay <IBAN> BIC COBADEFF"
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "a." * 100_000 + "@", "1." * 100_000, "+1" * 100_000, "+" + "(" * 200_000):
         pii.spans_of(text)
