@@ -35,12 +35,25 @@ SEED = 0x9E3779B97F4A7C15
 
 
 def runs_for(recall: float = RECALL, similar: float = SIMILAR, depth: int = DEPTH) -> int:
-    """Runs after which a pair of the least similarity has met with the target probability, even if every path goes to the full depth."""
-    meet = 1.0
-    for _ in range(depth):
-        one = similar * meet
-        meet = (1 - SECOND) * one + SECOND * (1 - (1 - one) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    """Runs after which a pair of the least similarity is found with the target probability, even if every path goes to the full depth.
+
+    All runs draw from the same minima, so the chance is averaged over how many of them the pair shares; with under AGREE it is never found.
+    """
+
+    def missed(shared: int, runs: int) -> float:
+        meet = 1.0
+        for _ in range(depth):
+            one = shared / MINIMA * meet
+            meet = (1 - SECOND) * one + SECOND * (1 - (1 - one) ** 2)
+        return (1 - meet) ** runs if shared >= AGREE else 1.0
+
+    chance = [math.comb(MINIMA, k) * similar**k * (1 - similar) ** (MINIMA - k) for k in range(MINIMA + 1)]
+    if sum(chance[:AGREE]) >= 1 - recall:
+        raise ValueError(f"a recall of {recall} is out of reach of {MINIMA} minima")
+    runs = 1
+    while sum(c * missed(k, runs) for k, c in enumerate(chance)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _hash_word(word: str) -> int:

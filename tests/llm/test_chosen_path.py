@@ -67,6 +67,25 @@ def test_join_equals_brute_force(spark):
     assert result(spark, rows) == brute(rows)
 
 
+def test_runs_reach_the_recall_over_shared_minima():
+    # walks of 100,000 pairs at the least similarity, whose runs all draw from one list of minima a pair
+    rng, n = np.random.default_rng(7), 100_000
+    agree = rng.random((n, cp.MINIMA)) < cp.SIMILAR
+    row = np.arange(n)
+
+    def meet(depth):
+        if not depth:
+            return np.ones(n, bool)
+        first = rng.integers(0, cp.MINIMA, n)
+        second = (first + 1 + rng.integers(0, cp.MINIMA - 1, n)) % cp.MINIMA
+        return agree[row, first] & meet(depth - 1) | (rng.random(n) < cp.SECOND) & agree[row, second] & meet(depth - 1)
+
+    found = np.zeros(n, bool)
+    for _ in range(cp.runs_for()):
+        found |= meet(cp.DEPTH)
+    assert (found & (agree.sum(axis=1) >= cp.AGREE)).mean() >= cp.RECALL
+
+
 def test_large_nodes_are_split_and_blocked(spark, monkeypatch):
     monkeypatch.setattr(cp, "SMALL", 8)
     monkeypatch.setattr(cp, "BLOCK", 16)
