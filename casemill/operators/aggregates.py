@@ -144,12 +144,22 @@ def topk_watch_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sort_queue", f"WITH {CASES} SELECT row_number() OVER (ORDER BY priority DESC, received_ms, case_id) AS place, case_id, priority FROM cases WHERE status = 'OFFICER_ATTENTION' AND NOT historical ORDER BY place LIMIT 200")
 def sort_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of the officers' queue."""
+    """The head of the officers' queue; sort_queue_all has all of it."""
     top = cases(spark, sf_dir).where("status = 'OFFICER_ATTENTION' AND NOT historical").orderBy(F.col("priority").desc(), "received_ms", "case_id").limit(200)
     w = Window.orderBy(F.col("priority").desc(), "received_ms", "case_id")  # over the 200 rows
     return top.select(F.row_number().over(w).alias("place"), "case_id", "priority")
 
 
+@query("sort_queue_all", f"WITH {CASES} SELECT row_number() OVER (ORDER BY priority DESC, received_ms, case_id) AS place, case_id, priority FROM cases WHERE status = 'OFFICER_ATTENTION' AND NOT historical")
+def sort_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole officers' queue with its places, in order, by a range sort; no task takes all rows."""
+    from casemill.llm.common import prefix_sums
+
+    waiting = cases(spark, sf_dir).where("status = 'OFFICER_ATTENTION' AND NOT historical").select("case_id", "priority", "received_ms")
+    placed = prefix_sums(waiting, [-F.col("priority"), F.col("received_ms"), F.col("case_id")], {"place": F.lit(1)}, "queue")
+    return placed.select("place", "case_id", "priority").orderBy("place")
+
+
 @query("sort_natural", "SELECT n_name, lpad(regexp_extract(n_name, '([0-9]+)', 1), 12, '0') AS sort_key FROM nation ORDER BY sort_key, n_name")
 def sort_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in the order of the numbers in them: 2 before 10."""
