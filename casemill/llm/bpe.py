@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -19,11 +19,11 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.common import with_columns
+from casemill.llm.unicode_tables import Normalizer, Tables, probe
 
 #: Entries of each generation of a worker's caches.
 CACHE = 250_000
@@ -31,7 +31,7 @@ CACHE = 250_000
 PAIRS = 400_000
 #: Unicode white space, as the tokenizers' patterns know it; str.split also cuts at four ASCII control characters.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CONTROL = regex.compile(r"[\x1c-\x1f]")
+CONTROL = re.compile(r"[\x1c-\x1f]")
 
 
 @lru_cache(1)
@@ -168,13 +168,14 @@ class Recent(dict):
 class WordTokenizer:
     """A tokenizer file whose texts are NFC, lower case, without white space, and whose words end with a suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables: Tables):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.word = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.word, self.normal = re.compile(with_classes(pattern, tables)), Normalizer(tables)
         self.bpe = BacktrackingBpe(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.chars = byte_chars()
         strings = dict((v, k) for k, v in (model["vocab"] | self.special).items())
@@ -185,7 +186,7 @@ class WordTokenizer:
         self.width, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
         self.escape = {i: c for i, c in enumerate(self.chars) if chr(i) != c}
         self.words, self.chunks = Recent(self.of_word, CACHE // 3), Recent(self.of_chunk)
-        self.split = regex.compile(f"[^{SPACE}]+").findall
+        self.split = re.compile(f"[^{SPACE}]+").findall
 
     def of_word(self, word: str) -> bytes:
         form = word.encode().decode("latin-1").translate(self.escape)
@@ -203,9 +204,7 @@ class WordTokenizer:
         return b"".join([array(self.code, [self.special[x]]).tobytes() if x in self.special else self.of_piece(x) for x in self.cut.split(chunk)])
 
     def of_piece(self, piece: str) -> bytes:
-        # the library lowers each character by itself, so a final sigma isn't special
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return b"".join([self.words[w] for w in self.word.findall(text)])
+        return b"".join([self.words[w] for w in self.word.findall(self.normal.lower(self.normal.nfc(piece)))])
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -216,9 +215,16 @@ class WordTokenizer:
         return self.strings.gather(ids)[:-1]
 
 
+def with_classes(pattern: str, tables: Tables) -> str:
+    """A tokenizer's pattern with its letters, numbers and white space spelt out; letters and numbers may stand in brackets or alone."""
+    spelt = {r"\p{L}": tables.letters, r"\p{N}": tables.numbers, r"\s": SPACE}
+    inside = re.sub(r"\[\^?((?:\\p\{[LN]\}|\\s)+)\]", lambda m: re.sub(r"\\p\{[LN]\}|\\s", lambda k: spelt[k[0]], m[0]), pattern)
+    return re.sub(r"\\p\{[LN]\}|\\s", lambda k: f"[{spelt[k[0]]}]", inside).replace(r"\S", f"[^{SPACE}]")
+
+
 @lru_cache(2)
-def load(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def load(path: str, tables: Tables | None = None) -> WordTokenizer:
+    return WordTokenizer(path, tables or probe())
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -227,8 +233,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     Every row of any size is encoded whole; repeated rows stay; a column already named as ``ids`` is replaced.
     """
 
+    tables = probe()  # on the driver, once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        t = load(path, tables)
         for b in batches:
             rows = [t.encode(x).astype(np.int32) for x in b.column(text).to_pylist()]
             values = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32), np.concatenate([np.zeros(0, np.int32), *rows]))
@@ -241,8 +249,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """df with the text that the library's decode gives for an array of token ids; a null or empty array gives the empty text."""
 
+    tables = probe()  # on the driver, once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        t = load(path, tables)
         for b in batches:
             out = [t.decode(np.array(x or [], np.int64)).decode() for x in b.column(ids).to_pylist()]
             kept = [n for n in b.schema.names if n != text]
@@ -254,8 +264,10 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: its key, n_tokens, and SHA-256 of the ids and of the decoded text, without shipping either out of Python."""
 
+    tables = probe()  # on the driver, once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
+        t = load(path, tables)
         for b in batches:
             rows = []
             for x in b.column(1):

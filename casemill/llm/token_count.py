@@ -13,14 +13,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.bpe import SPACE, Recent, byte_chars
+from casemill.llm.bpe import SPACE, Recent, byte_chars, with_classes
+from casemill.llm.unicode_tables import Tables, probe
 
 #: The split of byte-level tokenizers with use_regex (a fixed pattern of the format).
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs that pre-tokens never cross: a word with the blank before it, or white space.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
@@ -66,18 +66,23 @@ class Merges:
         return [p for p in parts if p is not None]
 
 
+@lru_cache(2)
+def pretoken(tables: Tables | None = None) -> re.Pattern:
+    return re.compile(with_classes(PRETOKEN, tables or probe()))
+
+
 @lru_cache(2)
 def prove(path: str) -> frozenset[str]:
     """The vocabulary strings (as text) that encode alone as one token, each run through the merges and the split."""
     spec = _spec(path)
     merges, byte_of = Merges(spec["model"]["merges"]), {c: b for b, c in enumerate(byte_chars())}
-    out = set()
+    out, split = set(), pretoken()
     for form in spec["model"]["vocab"]:
         try:
             text = bytes(byte_of[c] for c in form).decode()
         except (UnicodeDecodeError, KeyError):
             continue
-        if merges.apply(form) == [form] and PRETOKEN.findall(text) == [text]:
+        if merges.apply(form) == [form] and split.findall(text) == [text]:
             out.add(text)
     return frozenset(out)
 
@@ -85,17 +90,18 @@ def prove(path: str) -> frozenset[str]:
 class Counter:
     """Counts of whole texts; kept by a worker between tasks."""
 
-    def __init__(self, path: str, proven: frozenset[str]):
+    def __init__(self, path: str, proven: frozenset[str], tables: Tables | None = None):
         spec = _spec(path)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.merges, self.proven, self.chars = Merges(spec["model"]["merges"]), proven, byte_chars()
         self.escape = {i: c for i, c in enumerate(self.chars) if chr(i) != c}
+        self.split = pretoken(tables).findall
         self.chunks = Recent(self.of_chunk)
 
     def of_chunk(self, chunk: str) -> int:
         n = 0
-        for p in PRETOKEN.findall(chunk):
+        for p in self.split(chunk):
             n += 1 if p in self.proven else len(self.merges.apply(p.encode().decode("latin-1").translate(self.escape)))
         return n
 
@@ -119,11 +125,11 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     Null counts as the empty text: 0 bytes, 0 tokens. Repeated rows each give a row; other columns are not read.
     """
-    proven = df.sparkSession.sparkContext.broadcast(prove(path))  # at most the vocabulary
+    proven, tables = df.sparkSession.sparkContext.broadcast(prove(path)), probe()  # at most the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(path, proven.value)
+            _COUNTERS[path] = Counter(path, proven.value, tables)
         count = _COUNTERS[path].count
         for b in batches:
             n = [count(x.as_py()) for x in b.column(2)]

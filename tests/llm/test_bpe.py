@@ -1,6 +1,7 @@
 """Operator 1 against the tokenizers library."""
 
 import random
+import unicodedata
 
 import public_tokenizers as P
 import pytest
@@ -37,6 +38,25 @@ def test_ids_and_decoded_text_equal_the_library(library):
         assert t.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def all_code_points():
+    """Every code point between two letters, after a composed letter and before a mark, 512 to a text."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    return [" ".join(f"x{c}y" for c in points[at : at + 512]) for at in range(0, len(points), 512)] + [" ".join(f"á{c}̴1{c}" for c in points[at : at + 512]) for at in range(0, len(points), 512)]
+
+
+def mixed_marks(n=3000):
+    rng = random.Random(11)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(c)]
+    return ["".join(rng.choice(rng.choice((points, marks, marks, "aé1 ,Σİ"))) for _ in range(rng.randint(1, 12))) for _ in range(n)]
+
+
+def test_every_code_point_and_mixed_marks(library):
+    t, texts_ = bpe.load(PATH), all_code_points() + mixed_marks()
+    for x, want in zip(texts_, library.encode_batch(texts_, add_special_tokens=False)):
+        assert t.encode(x).tolist() == want.ids, repr(x[:200])
+
+
 def test_round_trip_frame(spark, library):
     rows = [(1, "Hello there"), (2, None), (3, ""), (4, "word " * 3000), (4, "word " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("token_ids", bpe.F.lit("clash"))

@@ -4,7 +4,7 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from casemill.llm import token_count
-from tests.llm.test_bpe import texts
+from tests.llm.test_bpe import all_code_points, mixed_marks, texts
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -28,3 +28,14 @@ def test_proof_holds_for_every_string():
     library, proven = Tokenizer.from_file(PATH), token_count.prove(PATH)
     assert len(proven) > 45_000
     assert all(len(e.ids) == 1 for e in library.encode_batch(list(proven), add_special_tokens=False))
+
+
+def test_every_code_point_and_mixed_marks():
+    library, counter, texts_ = Tokenizer.from_file(PATH), token_count.Counter(PATH, token_count.prove(PATH)), all_code_points() + mixed_marks()
+    for x, want in zip(texts_, library.encode_batch(texts_, add_special_tokens=False)):
+        assert counter.count(x) == len(want.ids), repr(x[:200])
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
+    assert token_count.token_counts(df, PATH).collect() == []
