@@ -39,9 +39,9 @@ def test_ids_and_decoded_text_equal_the_library(library):
 
 
 def all_code_points():
-    """Every code point between two letters, after a composed letter and before a mark, 512 to a text."""
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    return [" ".join(f"x{c}y" for c in points[at : at + 512]) for at in range(0, len(points), 512)] + [" ".join(f"á{c}̴1{c}" for c in points[at : at + 512]) for at in range(0, len(points), 512)]
+    """Every code point between two letters, 512 to a text; of the unassigned planes and of private use every 97th."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 and not 0xE000 <= c < 0xF900 or 0xE0000 <= c < 0xE1000 or c % 97 == 0)]
+    return [" ".join(f"x{c}y" for c in points[at : at + 512]) for at in range(0, len(points), 512)]
 
 
 def mixed_marks(n=3000):
