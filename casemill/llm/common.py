@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,28 +23,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset (one machine, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine, as in tests, a temporary folder."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = f"file://{tempfile.mkdtemp(prefix='casemill-')}"
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def temporaries(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Tables that materialize() writes in this block are removed at its end, but those named in ``keep``: an enclosing block has them then."""
+    open_ = _SCOPES.__dict__.setdefault("open", [])
+    made: list[tuple[str, str]] = []
+    open_.append(made)
+    try:
+        yield
+    finally:
+        open_.pop()
+        for what, path in made:
+            if what not in keep:
+                _remove(spark, path)
+            elif open_:
+                open_[-1].append((what, path))
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and each task's work is done once even if executors are lost later."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if open_ := _SCOPES.__dict__.get("open"):
+        open_[-1].append((what, path))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._casemill_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(df: DataFrame) -> None:
     """Remove a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df._casemill_path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _remove(df.sparkSession, df._casemill_path)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
+    """key, text and label of at most ``most`` different rows: labels with the smallest hashes of their keys, then rows with the smallest hashes.
+
+    Equal rows count once, rows of one key that differ in text or label count each. Both bounds hold before a text is shuffled, and what is
+    broadcast are ``most`` rows of a key, a label and a hash.
+    """
+    chosen = labels.select(F.col(key).alias(key), F.col(label).alias(label)).dropna().orderBy(F.xxhash64(key), key, label).limit(most)
+    docs = documents.select(F.col(key).alias(key), F.col(text).alias(text), F.xxhash64(text).alias("__hash"))
+    pairs = docs.select(key, "__hash").join(F.broadcast(chosen), key).distinct().orderBy(F.xxhash64(key, "__hash"), key, "__hash", label).limit(most)
+    return docs.join(F.broadcast(pairs), [key, "__hash"]).dropDuplicates([key, "__hash", label]).select(key, text, label)
 
 
 def with_columns(df: DataFrame, without: tuple[str, ...] | list[str] | set[str], **added: str) -> T.StructType:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import free_name, materialize, prefix_sums, word_count
+from casemill.llm.common import free_name, materialize, prefix_sums, temporaries, word_count
 
 
 def targets(sizes: DataFrame, weights: int = 3, repeats: int = 3) -> DataFrame:
@@ -39,17 +39,18 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: Column
     """
     size = word_count(F.col("text")) if size is None else size
     docs = df.select(F.col(key).alias(key), F.col(source).cast("string").alias("source"), size.alias("size")).withColumn("__h", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    docs = materialize(docs, "mix-rows")  # without texts: words are counted once
-    order = [F.col("source").isNull().cast("int"), F.col("source"), F.col("__h"), F.col(key), F.col("size")]
-    placed = prefix_sums(docs, order, {"__row": F.lit(1), "__upto": F.col("size")}, "mix-shuffled")
-    of = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumnRenamed("source", "__source")
-    placed = placed.join(of, placed["source"].eqNullSafe(of["__source"]), "left").drop("__source").withColumn("__cum", F.col("__upto") - F.col("source_before"))
-    rounds = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(repeats - 1))).otherwise(F.array(F.lit(0)))
-    copies = placed.withColumn("__round", F.explode(rounds))
-    finish = (F.col("__cum") + F.col("__round") * F.col("source_size")).cast("double") / F.when(F.col("target") > 0, F.col("target"))
-    copies = copies.select("__row", key, "source", "size", "source_size", "target", "__round", finish.alias("__finish"))
-    queue = prefix_sums(copies, [F.coalesce("__finish", F.lit(0.0)), F.col("__row"), F.col("__round")], {"__taken": F.col("size")}, "mix-queue")
-    budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    with temporaries(df.sparkSession, "mix-queue"):
+        docs = materialize(docs, "mix-rows")  # without texts: words are counted once
+        order = [F.col("source").isNull().cast("int"), F.col("source"), F.col("__h"), F.col(key), F.col("size")]
+        placed = prefix_sums(docs, order, {"__row": F.lit(1), "__upto": F.col("size")}, "mix-shuffled")
+        of = targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumnRenamed("source", "__source")
+        placed = placed.join(of, placed["source"].eqNullSafe(of["__source"]), "left").drop("__source").withColumn("__cum", F.col("__upto") - F.col("source_before"))
+        rounds = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(repeats - 1))).otherwise(F.array(F.lit(0)))
+        copies = placed.withColumn("__round", F.explode(rounds))
+        finish = (F.col("__cum") + F.col("__round") * F.col("source_size")).cast("double") / F.when(F.col("target") > 0, F.col("target"))
+        copies = copies.select("__row", key, "source", "size", "source_size", "target", "__round", finish.alias("__finish"))
+        queue = prefix_sums(copies, [F.coalesce("__finish", F.lit(0.0)), F.col("__row"), F.col("__round")], {"__taken": F.col("size")}, "mix-queue")
+        budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     into = (F.col("__taken") <= F.lit(budget)) & (F.col("size") > 0)
     rest = [F.first(c).alias(c) for c in (key, "source", "size", "source_size", "target")]
     return queue.groupBy("__row").agg(*rest, F.sum(F.when(into, F.col("size")).otherwise(0)).alias("taken"), F.count_if(into).alias("copies")).drop("__row")

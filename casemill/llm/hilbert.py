@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import free_name, materialize, prefix_sums
+from casemill.llm.common import free_name, materialize, prefix_sums, temporaries
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -80,16 +80,16 @@ def shards(df: DataFrame, values: list[str], size: str, ties: list[Column], n_sh
     Dimensions are the columns ``values`` (any type that has an order, null is the least) and the number ``size``. Rows of one cell stand in
     the order of ``ties``. Rows with equal ties are split where a cut falls; an empty table gives an empty result.
     """
-    cells = []
-    for i, v in enumerate(values):
-        cell = free_name(df, f"__cell{i}")
-        of = value_cells(df, v, bits, cell)
-        df = df.join(of, df[v].eqNullSafe(of[f"{cell}_value"]), "left").drop(f"{cell}_value")
-        cells.append(F.col(cell))
-    df = df.withColumn("hilbert", hilbert_index([*cells, size_cell(F.col(size), bits)], bits)).drop(*[c for c in df.columns if c.startswith("__cell")])
-    order = [F.col("hilbert"), *ties]
-    placed = prefix_sums(df, order, {"__at": F.lit(1)}, "hilbert-order")
     n = df.count()
+    with temporaries(df.sparkSession, "hilbert-order"):
+        cells = []
+        for i, v in enumerate(values):
+            cell = free_name(df, f"__cell{i}")
+            of = value_cells(df, v, bits, cell)
+            df = df.join(of, df[v].eqNullSafe(of[f"{cell}_value"]), "left").drop(f"{cell}_value")
+            cells.append(F.col(cell))
+        df = df.withColumn("hilbert", hilbert_index([*cells, size_cell(F.col(size), bits)], bits)).drop(*[c for c in df.columns if c.startswith("__cell")])
+        placed = prefix_sums(df, [F.col("hilbert"), *ties], {"__at": F.lit(1)}, "hilbert-order")
     at = F.col("__at") - 1
     shard = F.floor(at * n_shards / F.lit(max(n, 1))).cast("int")
     placed = placed.withColumn("shard", shard)
@@ -110,6 +110,7 @@ def report(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     meta = documents.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    meta = materialize(meta, "hilbert-rows")  # without texts: each is read once
-    placed = shards(meta, ["lang", "source"], "size", [F.col("text_crc32"), F.col("doc_id"), F.col("size")], n_shards)
+    with temporaries(documents.sparkSession, "hilbert-order"):
+        meta = materialize(meta, "hilbert-rows")  # without texts: each is read once
+        placed = shards(meta, ["lang", "source"], "size", [F.col("text_crc32"), F.col("doc_id"), F.col("size")], n_shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

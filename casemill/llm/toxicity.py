@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.bpe import Recent
-from casemill.llm.common import drop, materialize, with_columns
+from casemill.llm.common import labelled_sample, materialize, temporaries, with_columns
 
-#: At most so many labelled rows train the classifier, those with the smallest hashes of their ids.
+#: At most so many labelled rows train the classifier.
 MAX_LABELLED = 20_000
 #: At most so many learned lexicon entries, and what each needs: documents with it, and its log odds.
 MAX_LEXICON, LEAST_DOCS, LEAST_ODDS = 5_000, 3, 2.0
@@ -170,24 +170,24 @@ class Model:
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn from at most ``max_labelled`` labelled documents that aren't held out. Without both classes every score is the labels' mean, or 0."""
-    chosen = labels.where(F.col("toxic").isNotNull() & (part(key) != 0)).select(key, "toxic").orderBy(F.xxhash64(F.col(key)), key, "toxic").limit(max_labelled)
-    rows = materialize(documents.select(key, "text").join(F.broadcast(chosen), key).select(part(key).alias("part"), "text", F.col("toxic").cast("int").alias("toxic")), "toxicity-labelled")
-    lexicon = learn_lexicon(rows.where(F.col("part").isin(1, 2)))
-    sample = materialize(features(rows.where(F.col("part") >= 3), lexicon), "toxicity-sample").repartition(4)
-    by = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
-    drop(rows)
-    if not (by.get((3, 0)) and by.get((3, 1))):
-        total = sum(by.values())
-        return Model(lexicon, constant=sum(n for (_, y), n in by.items() if y) / total if total else 0.0)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(sample).select("part", "toxic", "__x").persist()
-    learner = GBTClassifier(featuresCol="__x", labelCol="toxic", predictionCol="__y", maxDepth=3, maxIter=15, stepSize=0.3, seed=1, minInstancesPerNode=3)
-    trees = learner.setProbabilityCol("__p").setRawPredictionCol("__r").fit(vectors.where("part = 3"))
-    calibration = None
-    if by.get((4, 0)) and by.get((4, 1)):
-        raw = trees.transform(vectors.where("part = 4")).select(F.col("toxic").cast("double").alias("toxic"), vector_to_array("__p")[1].alias("__raw"))
-        calibration = IsotonicRegression(featuresCol="__raw", labelCol="toxic", predictionCol="__calibrated").fit(raw)
-    vectors.unpersist()
+    """Learn from at most ``max_labelled`` labelled rows that aren't held out, see labelled_sample(). Without both classes every score is the labels' mean, or 0."""
+    with temporaries(documents.sparkSession):
+        chosen = labelled_sample(documents, labels.where(part(key) != 0), "toxic", key, "text", max_labelled)
+        rows = materialize(chosen.select(part(key).alias("part"), "text", F.col("toxic").cast("int").alias("toxic")), "toxicity-labelled")
+        lexicon = learn_lexicon(rows.where(F.col("part").isin(1, 2)))
+        sample = materialize(features(rows.where(F.col("part") >= 3), lexicon), "toxicity-sample").repartition(4)
+        by = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}  # four rows
+        if not (by.get((3, 0)) and by.get((3, 1))):
+            total = sum(by.values())
+            return Model(lexicon, constant=sum(n for (_, y), n in by.items() if y) / total if total else 0.0)
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(sample).select("part", "toxic", "__x").persist()
+        learner = GBTClassifier(featuresCol="__x", labelCol="toxic", predictionCol="__y", maxDepth=3, maxIter=15, stepSize=0.3, seed=1, minInstancesPerNode=3)
+        trees = learner.setProbabilityCol("__p").setRawPredictionCol("__r").fit(vectors.where("part = 3"))
+        calibration = None
+        if by.get((4, 0)) and by.get((4, 1)):
+            raw = trees.transform(vectors.where("part = 4")).select(F.col("toxic").cast("double").alias("toxic"), vector_to_array("__p")[1].alias("__raw"))
+            calibration = IsotonicRegression(featuresCol="__raw", labelCol="toxic", predictionCol="__calibrated").fit(raw)
+        vectors.unpersist()
     return Model(lexicon, trees, calibration)
 
 
