@@ -9,7 +9,7 @@ from casemill.functions import dates, text
 from casemill.plans.registry import query
 from casemill.sources.views import CASES, NOW_MS, TODAY, cases, literal, table
 
-NAMES, NAMES_SQL = literal([(1, "Phajabati"), (2, "Sharma"), (3, "Khuraijam"), (4, "Rameshwor"), (5, "Leeta Devi"), (6, "Wangkhem"), (7, "Hussain"), (8, ""), (9, None), (10, "Thoibaa")], "id long, name string")
+NAMES, NAMES_SQL = literal([(1, "Ghanapriya"), (2, "Bheemsen"), (3, "Okraam"), (4, "Jogeshwor"), (5, "Phoolo Rai"), (6, "Vaiphei"), (7, "Dhanno"), (8, ""), (9, None), (10, "Wahengbam")], "id long, name string")
 
 
 def _phonetic_sql(c: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,18 +16,74 @@ from casemill.sources.views import literal, table
 WORDS = T.ArrayType(T.StringType())
 PARSED = T.StructType().add("normalised", "string").add("family", WORDS).add("given", WORDS).add("endings", WORDS).add("gender", "string")
 MATCHED = T.StructType().add("score", "integer").add("verdict", "string").add("reasons", WORDS)
+EXPLAINED = T.StructType().add("score", "integer").add("verdict", "string").add("headline", "string").add("points", WORDS)
+#: At most so many surnames make a gazetteer, which goes to every worker.
+MAX_SURNAMES = 100_000
+_WORDS = pa.list_(pa.string())
+
+
+def _struct(rows: list[tuple], **kinds: pa.DataType) -> pa.StructArray:
+    columns = zip(*rows) if rows else ((),) * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+
+def _known(known: pa.Array) -> list[frozenset[str]]:
+    return [frozenset(map(names.key, k)) if k else frozenset() for k in known.to_pylist()]
+
+
+def parser(gazetteer: names.Gazetteer = names.DEMONSTRATION) -> Callable[..., Column]:
+    """A function (name) -> struct of the name's parts."""
+
+    @F.arrow_udf(PARSED)
+    def parse_name(raw: pa.Array) -> pa.Array:
+        parsed = [names.parse(x or "", gazetteer) for x in raw.to_pylist()]
+        rows = [(n.text, [f[0] for f in n.family], [g[0] for g in n.given], n.endings, n.gender) for n in parsed]
+        return _struct(rows, normalised=pa.string(), family=_WORDS, given=_WORDS, endings=_WORDS, gender=pa.string())
+
+    return parse_name
+
+
+def matcher(gazetteer: names.Gazetteer = names.DEMONSTRATION, scores: names.Scores = names.Scores()) -> Callable[..., Column]:
+    """A function (a, b, surnames known from elsewhere) -> struct of score, verdict and reasons."""
+
+    @F.arrow_udf(MATCHED)
+    def match_names(a: pa.Array, b: pa.Array, known: pa.Array) -> pa.Array:
+        rows = [names.match(x or "", y or "", k, gazetteer, scores) for x, y, k in zip(a.to_pylist(), b.to_pylist(), _known(known))]
+        return _struct(rows, score=pa.int32(), verdict=pa.string(), reasons=_WORDS)
+
+    return match_names
 
 
-@F.pandas_udf(PARSED)
-def parse_name(raw: pd.Series) -> pd.DataFrame:
-    p = [names.parse(x or "") for x in raw]
-    return pd.DataFrame({"normalised": [n.text for n in p], "family": [[f[0] for f in n.family] for n in p], "given": [[g[0] for g in n.given] for n in p], "endings": [n.endings for n in p], "gender": [n.gender for n in p]})
+def explainer(gazetteer: names.Gazetteer = names.DEMONSTRATION, scores: names.Scores = names.Scores()) -> Callable[..., Column]:
+    """A function (a, b, surnames known from elsewhere) -> struct of score, verdict, headline and points of at most twelve words."""
 
+    @F.arrow_udf(EXPLAINED)
+    def explain_match(a: pa.Array, b: pa.Array, known: pa.Array) -> pa.Array:
+        rows = [names.explain(x or "", y or "", k, gazetteer, scores) for x, y, k in zip(a.to_pylist(), b.to_pylist(), _known(known))]
+        return _struct(rows, score=pa.int32(), verdict=pa.string(), headline=pa.string(), points=_WORDS)
 
-@F.pandas_udf(MATCHED)
-def match_names(a: pd.Series, b: pd.Series, known: pd.Series) -> pd.DataFrame:
-    out = [names.match(x or "", y or "", frozenset() if k is None else frozenset(map(names.key, k))) for x, y, k in zip(a, b, known)]
-    return pd.DataFrame(out, columns=["score", "verdict", "reasons"])
+    return explain_match
+
+
+def relatives(gazetteer: names.Gazetteer = names.DEMONSTRATION) -> Callable[..., Column]:
+    """A function (array of relatives' names) -> array of the surnames that they have in full."""
+
+    @F.arrow_udf(WORDS)
+    def surnames_of(of: pa.Array) -> pa.Array:
+        return pa.array([names.surnames(x or [], gazetteer) for x in of.to_pylist()], _WORDS)
+
+    return surnames_of
+
+
+parse_name, match_names, explain_match, surnames_of = parser(), matcher(), explainer(), relatives()
+
+
+def gazetteer_of(rows: DataFrame, most: int = MAX_SURNAMES) -> names.Gazetteer:
+    """A gazetteer from a table of surname, community and abbreviation (null or '' for none), first rows first by surname; more than ``most`` are refused."""
+    got = rows.select("surname", "community", F.coalesce("abbreviation", F.lit("")).alias("abbreviation")).where("surname IS NOT NULL").distinct().orderBy("surname", "community", "abbreviation").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a gazetteer has at most {most} surnames")
+    return names.Gazetteer([tuple(r) for r in got])
 
 
 def none_known() -> Column:
@@ -37,6 +95,8 @@ PEOPLE, _ = literal(
     [(1, "form", "Kh. Loken Singh"), (1, "card", "Khuraijam Loken Singh"), (1, "passbook", "LOKEN KHURAIJAM"), (2, "form", "Tomba Meitei"), (2, "card", "Tombi Devi"), (3, "form", "Smt. Ibemcha Devi W/o Okram Thomas"), (3, "card", "Ibemchaa Debi"), (3, "epic", "Okram Ongbi Ibemcha Devi"), (4, "form", "Md. Abdul Hussain"), (4, "card", "Mohd Abdul Husain"), (5, "form", None), (5, "card", "R.B. Thapa")],
     "case_id long, doc string, name string",
 )
+#: Documents in the order in which they are compared.
+DOCUMENTS = ("form", "card", "epic", "passbook")
 
 
 @query("name_parse")
@@ -56,21 +116,34 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("name_identity_matrix")
 def name_identity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of a packet's names once, in document order."""
+    """Every pair of a packet's names once, the earlier document (DOCUMENTS) first."""
+    p = PEOPLE(spark).withColumn("at", F.array_position(F.array(*map(F.lit, DOCUMENTS)), F.col("doc")))
+    a, b = (p.select("case_id", F.col("doc").alias(x), F.col("name").alias(f"name_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    return a.join(b, "case_id").where("at_a < at_b").withColumn("m", match_names("name_a", "name_b", none_known())).select("case_id", "a", "b", "m.score", "m.verdict")
+
+
+@query("name_explain")
+def name_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to tell an officer about each pair of a case's form name with another document's name, surnames of the packet's relatives known."""
     p = PEOPLE(spark)
-    a, b = p.select("case_id", F.col("doc").alias("a"), F.col("name").alias("name_a")), p.select("case_id", F.col("doc").alias("b"), F.col("name").alias("name_b"))
-    return a.join(b, "case_id").where("a < b").withColumn("m", match_names("name_a", "name_b", none_known())).select("case_id", "a", "b", "m.score", "m.verdict")
+    known = p.groupBy("case_id").agg(F.collect_list("name").alias("names")).select("case_id", surnames_of("names").alias("known"))  # a packet has at most six documents
+    pairs = p.where("doc = 'form'").select("case_id", F.col("name").alias("a")).join(p.where("doc <> 'form'").select("case_id", "doc", F.col("name").alias("b")), "case_id").join(known, "case_id")
+    return pairs.withColumn("m", explain_match("a", "b", "known")).select("case_id", "doc", "m.score", "m.verdict", "m.headline", "m.points")
+
+
+def search(people: DataFrame, asked: str, key: str = "p_partkey", name: str = "p_name", matching: Callable[..., Column] = match_names) -> DataFrame:
+    """Rows whose name holds the words asked for (score 95) or matches as a name, best first, then by key; cheap hits never reach the matcher."""
+    p = people.select(key, name)
+    cheap = F.contains(F.lower(name), F.lit(asked.lower()))
+    hits = p.where(cheap).select(key, name, F.lit(95).alias("score"))
+    rest = p.where(~cheap).select(name).distinct().withColumn("m", matching(name, F.lit(asked), none_known())).where("m.verdict <> 'DIFFERENT'").select(name, "m.score")
+    return hits.unionByName(p.join(rest, name).select(key, name, "score")).orderBy(F.col("score").desc(), key)
 
 
 @query("name_search")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose name holds the words (95) or matches as a name; cheap hits never reach the matcher."""
-    asked = "red widget"
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    cheap = F.contains(F.lower("p_name"), F.lit(asked))
-    hits = p.where(cheap).select("p_partkey", "p_name", F.lit(95).alias("score"))
-    rest = p.where(~cheap).select("p_name").distinct().withColumn("m", match_names("p_name", F.lit(asked), none_known())).where("m.verdict <> 'DIFFERENT'").select("p_name", "m.score")
-    return hits.unionByName(p.join(rest, "p_name").select("p_partkey", "p_name", "score"))
+    """The search over the names of parts."""
+    return search(table(spark, sf_dir, "part"), "red widget")
 
 
 @query("name_gazetteer", "SELECT * FROM (VALUES ('kh', 'Khuraijam,Khumanthem', 2), ('th', 'Thokchom,Thangjam', 2)) AS v(abbreviation, surnames, n)")

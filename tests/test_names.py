@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemill.functions import names
-from casemill.operators.names_queries import match_names, parse_name
+from casemill.operators.names_queries import gazetteer_of, match_names, parse_name, search
 
 
 def verdict(a, b, known=()):
@@ -47,16 +47,70 @@ def test_symmetry_and_bounds():
         assert 0 <= x[0] <= 100 and (x[0] < 50) == (x[1] == "DIFFERENT")
 
 
-def test_ten_thousand_comparisons_a_second():
+def test_ten_thousand_distinct_names_compared_in_a_second():
     syllables = "tom ba ibem cha lo ken san jen yai ma bi ra".split()
     rng = random.Random(2)
-    pairs = [tuple(f"{rng.choice(['Okram', 'Kh.', 'Laishram'])} {''.join(rng.choice(syllables) for _ in range(3)).title()} Singh" for _ in range(2)) for _ in range(5_000)]
-    for a, b in pairs[:500]:
-        names.match(a, b)
-    t = time.perf_counter()
-    for a, b in pairs:
-        names.match(a, b)
-    assert time.perf_counter() - t < 2.0  # the floor is half a second on an idle core; tests may share theirs
+    took = []
+    for _ in range(5):  # the best of five, in processor time: tests share their cores
+        pairs = [tuple(f"{rng.choice(['Okram', 'Kh.', 'Laishram'])} {''.join(rng.choice(syllables) for _ in range(5)).title()} Singh" for _ in range(2)) for _ in range(10_000)]
+        t = time.process_time()
+        for a, b in pairs:
+            names.match(a, b)
+        took.append(time.process_time() - t)
+        if took[-1] < 1.0:
+            break
+    assert min(took) < 1.0, took
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("R. K. Tomba", [("rk", True), ("tomba", False)]),
+        ("Th.Ibemcha Devi", [("th", True), ("ibemcha", False), ("devi", False)]),
+        ("Shri Okram Tomba (Late)", [("okram", False), ("tomba", False)]),
+        ("Prof. Dr.", [("dr", True)]),
+        ("Khurai.jam Tomba", [("khuraijam", False), ("tomba", False)]),
+        ("1aishram T0mba", [("laishram", False), ("tomba", False)]),
+        ("Asha, wife of Ram", [("asha", False)]),
+        ("", []),
+        ("99 --", []),
+    ],
+)
+def test_tokens(raw, want):
+    assert names.tokens(raw) == want
+
+
+def test_edit_distance_up_to_two():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(5000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert [names.within(a, b, m) for m in (0, 1, 2)] == [min(plain(a, b), m + 1) for m in (0, 1, 2)]
+
+
+def test_gazetteer_scores_and_relatives_are_inputs(spark):
+    g = gazetteer_of(spark.createDataFrame([("Khundrakpam", "Meitei", "kh"), ("Khundrakpam", "Meitei", "kh"), (None, "x", "y"), ("Haokip", "Kuki-Zo", None)], "surname string, community string, abbreviation string"))
+    assert names.match("Kh. Loken Singh", "Khundrakpam Loken Singh", gazetteer=g)[1] in ("SAME", "LIKELY_SAME")  # the only surname of that abbreviation
+    assert names.match("Kh. Loken Singh", "Khuraijam Loken Singh", gazetteer=g)[1] == "AMBIGUOUS"
+    assert names.match("Okram Tomba", "Okram Tomba", scores=names.Scores(same=101))[1] == "LIKELY_SAME"
+    assert names.surnames(["Shri Okram Thoiba Singh", None, "O. Chaoba", "Laishram Ibemcha", "Okram X"]) == ["Okram", "Laishram"]
+    score, verdict, headline, points = names.explain("Okram Tomba Meitei", "Okram Tombi Devi")
+    assert verdict == "DIFFERENT" and headline and points and all(len(p.split()) <= 12 for p in points)
+    with pytest.raises(ValueError):
+        gazetteer_of(spark.createDataFrame([("a", "b", "c"), ("d", "e", "f")], "surname string, community string, abbreviation string"), most=1)
+
+
+def test_search_is_ordered(spark):
+    people = spark.createDataFrame([(3, "Okram Tomba"), (1, "Okram Tomba Singh"), (2, "Laishram Tomba"), (4, None), (5, "Okram Tombaa")], "id long, n string")
+    got = [r.id for r in search(people, "okram tomba", "id", "n").collect()]
+    assert got == [1, 3, 5]
 
 
 def test_arrow_functions_take_nulls_and_long_texts(spark):
