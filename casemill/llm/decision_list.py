@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import with_columns
+from casemill.llm.common import labelled_sample, with_columns
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
 #: Counts that every document gets.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_distinct_words", "n_marks")
-#: At most so many labelled rows train the list, those with the smallest hashes of their ids.
+#: At most so many labelled rows train the list.
 MAX_LABELLED = 20_000
 
 
@@ -194,12 +194,11 @@ def base_failed() -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Learn from labels' quality (0 is low) of at most ``max_labelled`` documents, those whose ids have the smallest hashes.
+    """Learn from the quality (0 is low) of at most ``max_labelled`` labelled rows, see labelled_sample(); equal rows count once.
 
-    Without labels there are no rules, and only the base rule rejects. A document labelled twice counts twice.
+    Without labels there are no rules, and only the base rule rejects. A document with both labels counts as one of each.
     """
-    labelled = labels.where("quality IS NOT NULL").select(key, "quality").orderBy(F.xxhash64(F.col(key)), key, "quality").limit(max_labelled)
-    rows = statistics(documents.join(labelled, key).select(F.col("text"), F.col("quality"))).where(F.col("n_words") > 0)
+    rows = statistics(labelled_sample(documents, labels, "quality", key, "text", max_labelled)).where(F.col("n_words") > 0)
     names = ratios()
     got = rows.select("quality", *[c.alias(n) for n, c in names.items()]).toPandas()  # at most max_labelled rows of numbers
     got = got.sort_values(list(got.columns)).reset_index(drop=True)
