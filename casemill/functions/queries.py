@@ -91,12 +91,12 @@ def str_humanise_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber", text.humanise(code).alias("title")).agg(F.count("*").alias("n"))
 
 
-ANSWERS, ANSWERS_SQL = literal([(1, "Female", "Rs. 60,000/-", "No", "Unmarried"), (2, "m", "nil", "yes - 40%", "Widow of X"), (3, "Other", "12,345.50 a year", "N/A", "married"), (4, "", "", "", ""), (5, None, None, None, None), (6, "Man", "zero", "perhaps", "Divorced")], "id long, g string, i string, y string, m string")
+ANSWERS, ANSWERS_SQL = literal([(1, "Female", "Rs. 60,000/-", "No", "Unmarried"), (2, "m", "nil", "yes - 40%", "Widow of X"), (3, "Other", "12,345.50 a year", "N/A", "married"), (4, "", "", "", ""), (5, None, None, None, None), (6, "Man", "zero", "perhaps", "Divorced"), (7, "T", "0.50", "-", "never"), (8, "x", "007", "- none", "single")], "id long, g string, i string, y string, m string")
 
 
 @query("str_parse_answers", f"""SELECT id, CASE WHEN regexp_matches(lower(trim(g)), '^(f|female|woman|mahila)\\b') THEN 'female' WHEN regexp_matches(lower(trim(g)), '^(m|male|man|purush)\\b') THEN 'male' WHEN regexp_matches(lower(trim(g)), '^(t|trans|other)') THEN 'other' END AS gender,
-CASE WHEN regexp_matches(lower(trim(i)), '^(nil|none|no income|zero)') THEN 0.0 ELSE TRY_CAST(regexp_extract(replace(i, ',', ''), '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) END AS income,
-CASE WHEN regexp_matches(lower(trim(y)), '^(no|not|nil|none|n|na|n/a)\\b') THEN FALSE WHEN regexp_matches(lower(trim(y)), '^(yes|y|true)\\b') THEN TRUE END AS yes,
+CASE WHEN regexp_matches(lower(trim(i)), '^(nil|none|no income|zero|0+\\b)') THEN 0.0 ELSE TRY_CAST(regexp_extract(replace(i, ',', ''), '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) END AS income,
+CASE WHEN regexp_matches(lower(trim(y)), '^(no|not|nil|none|n|na|n/a|-)\\b') THEN FALSE WHEN regexp_matches(lower(trim(y)), '^(yes|y|true)\\b') THEN TRUE END AS yes,
 CASE WHEN regexp_matches(lower(m), 'unmarried|single|never') THEN 'single' WHEN regexp_matches(lower(m), 'widow') THEN 'widowed' WHEN regexp_matches(lower(m), 'divorc|separat') THEN 'divorced' WHEN regexp_matches(lower(m), 'married') THEN 'married' END AS marital FROM {ANSWERS_SQL}""")
 def str_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered classifiers of written answers."""
@@ -210,8 +210,8 @@ def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_update_field", "SELECT event_id, concat('{\"k\":', CAST(CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS VARCHAR), ',\"edited\":true}') AS props FROM events")
 def json_update_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One field of a JSON object changed and one added, the rest kept."""
-    s = F.from_json("props", "k bigint")
-    return table(spark, sf_dir, "events").select("event_id", F.to_json(s.withField("k", s["k"] + 1).withField("edited", F.lit(True))).alias("props"))
+    edited = text.json_with(F.col("props"), k=F.variant_get(F.parse_json("props"), "$.k", "bigint") + 1, edited=F.lit(True))
+    return table(spark, sf_dir, "events").select("event_id", edited.alias("props"))
 
 
 @query("json_row_stringify", "SELECT n_nationkey, concat('{\"n_nationkey\":', CAST(n_nationkey AS VARCHAR), ',\"n_name\":\"', n_name, '\",\"n_regionkey\":', CAST(n_regionkey AS VARCHAR), '}') AS row FROM nation")

@@ -106,14 +106,15 @@ def gender(c: Column) -> Column:
 
 
 def income(c: Column) -> Column:
-    """The first number of a text, commas dropped; nil and the like are 0."""
+    """The first number of a text, commas dropped; nil and the like are 0, and so is all that begins with a lone zero, "0.50" too (a rule kept as it is)."""
     n = F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"(\d+(\.\d+)?)", 1)
-    return F.when(F.lower(F.trim(c)).rlike("^(nil|none|no income|zero)"), 0.0).when(n != "", n.cast("double"))
+    return F.when(F.lower(F.trim(c)).rlike(r"^(nil|none|no income|zero|0+\b)"), 0.0).when(n != "", n.cast("double"))
 
 
 def yes_no(c: Column) -> Column:
+    """Yes or no; a dash counts as no only before a letter or digit (a rule kept as it is)."""
     low = F.lower(F.trim(c))
-    return F.when(low.rlike(r"^(no|not|nil|none|n|na|n/a)\b"), False).when(low.rlike(r"^(yes|y|true)\b"), True)
+    return F.when(low.rlike(r"^(no|not|nil|none|n|na|n/a|-)\b"), False).when(low.rlike(r"^(yes|y|true)\b"), True)
 
 
 def marital(c: Column) -> Column:
@@ -126,6 +127,13 @@ def document_type(c: Column) -> Column:
     return F.when(low.rlike("form|appl"), "form").when(low.rlike("aadh|uid|card"), "card").when(low.rlike("pass|bank"), "passbook").when(low.rlike("epic|voter"), "epic")
 
 
+def json_with(c: Column, **fields: Column) -> Column:
+    """A JSON object with fields set to other values, which keep their types; its other fields stay as they are."""
+    kept = F.map_filter(F.from_json(c, "map<string,variant>"), lambda k, _: ~k.isin(*fields))
+    new = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.parse_json(F.coalesce(v.cast("string"), F.lit("null"))))])
+    return F.to_json(F.map_concat(new, kept))
+
+
 def worst(verdicts: Column) -> Column:
     """The gravest of an array of verdicts."""
     order = F.array(*map(F.lit, ("DIFFERENT", "AMBIGUOUS", "LIKELY_SAME", "SAME")))

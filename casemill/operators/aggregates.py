@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
-from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, NOW_MS, STATUSES, audit_log, cases, extractions, flags, table
+from casemill.sources.shared import prefix_sums
+from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, NOW_MS, STATUSES, audit_log, cases, extractions, flags, table, with_district
 
 DAY = 86_400_000
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END"
 
 
-@query("agg_status_histogram", f"WITH {CASES} SELECT s.status, count(c.case_id) AS n FROM (SELECT unnest({list(STATUSES)}) AS status) s LEFT JOIN cases c ON c.status = s.status AND NOT c.historical AND c.priority > 60 GROUP BY s.status")
+@query("agg_status_histogram", f"WITH {CASES} SELECT s.status, count(c.case_id) AS n FROM (SELECT unnest({list(STATUSES)}) AS status) s LEFT JOIN cases c ON c.status = s.status AND NOT c.historical GROUP BY s.status")
 def agg_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases by status; a status without cases counts 0."""
-    counts = cases(spark, sf_dir).where("NOT historical AND priority > 60").groupBy("status").agg(F.count("*").alias("n"))
+    counts = cases(spark, sf_dir).where("NOT historical").groupBy("status").agg(F.count("*").alias("n"))
     return spark.createDataFrame([(s,) for s in STATUSES], "status string").join(counts, "status", "left").na.fill(0)
 
 
@@ -30,7 +31,7 @@ def agg_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
  count(*) FILTER (WHERE status = 'OFFICER_ATTENTION') AS attention, count(*) FILTER (WHERE status = 'APPROVED') AS approved FROM cases GROUP BY 1 ORDER BY received DESC, district""")
 def agg_district_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The district dashboard."""
-    by = cases(spark, sf_dir).groupBy(F.coalesce("district", F.lit("Not stated")).alias("district"))
+    by = with_district(cases(spark, sf_dir), sf_dir).groupBy(F.coalesce("district", F.lit("Not stated")).alias("district"))
     of = {"ready": "READY", "correction": "NEEDS_CITIZEN_CORRECTION", "attention": "OFFICER_ATTENTION", "approved": "APPROVED"}
     return by.agg(F.count("*").alias("received"), *[F.count_if(F.col("status") == s).alias(n) for n, s in of.items()]).orderBy(F.col("received").desc(), "district")
 
@@ -75,17 +76,17 @@ def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_rollup_total", f"WITH {CASES} SELECT coalesce(district, 'All') AS district, count(*) AS n, sum(priority)::BIGINT AS priority FROM cases WHERE district IS NOT NULL GROUP BY ROLLUP(district)")
 def agg_rollup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where("district IS NOT NULL").rollup("district").agg(F.count("*").alias("n"), F.sum("priority").alias("priority")).withColumn("district", F.coalesce("district", F.lit("All")))
+    return with_district(cases(spark, sf_dir), sf_dir).where("district IS NOT NULL").rollup("district").agg(F.count("*").alias("n"), F.sum("priority").alias("priority")).withColumn("district", F.coalesce("district", F.lit("All")))
 
 
 @query("agg_distinct_sorted", f"WITH {CASES} SELECT status, array_to_string(list_sort(list(DISTINCT district)), ',') AS districts FROM cases WHERE district IS NOT NULL GROUP BY status")
 def agg_distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where("district IS NOT NULL").groupBy("status").agg(F.array_join(F.array_sort(F.collect_set("district")), ",").alias("districts"))
+    return with_district(cases(spark, sf_dir), sf_dir).where("district IS NOT NULL").groupBy("status").agg(F.array_join(F.array_sort(F.collect_set("district")), ",").alias("districts"))
 
 
 @query("agg_first_seen", f"WITH {CASES} SELECT district, min(case_id) AS first_case FROM cases WHERE district IS NOT NULL GROUP BY district")
 def agg_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where("district IS NOT NULL").groupBy("district").agg(F.min("case_id").alias("first_case"))
+    return with_district(cases(spark, sf_dir), sf_dir).where("district IS NOT NULL").groupBy("district").agg(F.min("case_id").alias("first_case"))
 
 
 @query("agg_bool_and_empty", f"WITH {AUDIT} SELECT case_id, coalesce(bool_and(value < 60) FILTER (WHERE action = 'purchase'), TRUE) AS all_small, coalesce(bool_or(action = 'error'), FALSE) AS any_error FROM audit_log GROUP BY case_id")
@@ -119,7 +120,7 @@ def agg_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg_manifest", f"""WITH {CASES} SELECT 'status' AS dimension, status AS value, count(*) AS n FROM cases GROUP BY status UNION ALL SELECT 'district', coalesce(district, 'Not stated'), count(*) FROM cases GROUP BY 2 UNION ALL SELECT 'batch', batch_id, count(*) FROM cases GROUP BY batch_id""")
 def agg_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by several dimensions as one long table, in one pass over the cases."""
-    c = cases(spark, sf_dir)
+    c = with_district(cases(spark, sf_dir), sf_dir)
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("status", F.col("status")), ("district", F.coalesce("district", F.lit("Not stated"))), ("batch", F.col("batch_id")))])
     return c.select(F.explode(pairs).alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
 
@@ -142,22 +143,29 @@ def topk_watch_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(w.groupBy("category").agg(F.count("*").alias("total")), "category")
 
 
-@query("sort_queue", f"WITH {CASES} SELECT row_number() OVER (ORDER BY priority DESC, received_ms, case_id) AS place, case_id, priority FROM cases WHERE status = 'OFFICER_ATTENTION' AND NOT historical ORDER BY place LIMIT 200")
+def queue(cases_: DataFrame, top: int | None = None) -> DataFrame:
+    """place, case_id, priority of the cases that wait for an officer, in order, by a range sort; ``top`` cuts it to the first ones."""
+    waiting = cases_.where("status = 'OFFICER_ATTENTION' AND NOT historical").select("case_id", "priority", "received_ms")
+    order = [F.col("priority").desc(), F.col("received_ms"), F.col("case_id")]
+    if top is not None:
+        waiting = waiting.orderBy(*order).limit(top)
+    placed = prefix_sums(waiting, [-F.col("priority"), F.col("received_ms"), F.col("case_id")], {"place": F.lit(1)}, "queue")
+    return placed.select("place", "case_id", "priority").orderBy("place")
+
+
+_QUEUE = f"WITH {CASES} SELECT row_number() OVER (ORDER BY priority DESC, received_ms, case_id) AS place, case_id, priority FROM cases WHERE status = 'OFFICER_ATTENTION' AND NOT historical"
+
+
+@query("sort_queue", _QUEUE)
 def sort_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of the officers' queue; sort_queue_all has all of it."""
-    top = cases(spark, sf_dir).where("status = 'OFFICER_ATTENTION' AND NOT historical").orderBy(F.col("priority").desc(), "received_ms", "case_id").limit(200)
-    w = Window.orderBy(F.col("priority").desc(), "received_ms", "case_id")  # over the 200 rows
-    return top.select(F.row_number().over(w).alias("place"), "case_id", "priority")
+    """The officers' whole queue with its places; no task takes all rows."""
+    return queue(cases(spark, sf_dir))
 
 
-@query("sort_queue_all", f"WITH {CASES} SELECT row_number() OVER (ORDER BY priority DESC, received_ms, case_id) AS place, case_id, priority FROM cases WHERE status = 'OFFICER_ATTENTION' AND NOT historical")
+@query("sort_queue_all", _QUEUE)
 def sort_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole officers' queue with its places, in order, by a range sort; no task takes all rows."""
-    from casemill.llm.common import prefix_sums
-
-    waiting = cases(spark, sf_dir).where("status = 'OFFICER_ATTENTION' AND NOT historical").select("case_id", "priority", "received_ms")
-    placed = prefix_sums(waiting, [-F.col("priority"), F.col("received_ms"), F.col("case_id")], {"place": F.lit(1)}, "queue")
-    return placed.select("place", "case_id", "priority").orderBy("place")
+    """The same queue by its earlier name."""
+    return queue(cases(spark, sf_dir))
 
 
 @query("sort_natural", "SELECT n_name, lpad(regexp_extract(n_name, '([0-9]+)', 1), 12, '0') AS sort_key FROM nation ORDER BY sort_key, n_name")
@@ -176,7 +184,7 @@ def topk_latest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT district, floor(share)::BIGINT AS base, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, district) AS place, 100 - sum(floor(share)::BIGINT) OVER () AS spare FROM q) SELECT district, (base + CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""")
 def agg_largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred places shared out by districts' sizes; leftovers go to the largest remainders."""
-    counts = cases(spark, sf_dir).where("district IS NOT NULL").groupBy("district").agg(F.count("*").alias("n"))
+    counts = with_district(cases(spark, sf_dir), sf_dir).where("district IS NOT NULL").groupBy("district").agg(F.count("*").alias("n"))
     whole = Window.partitionBy()  # a row for each district
     share = counts.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(whole)).withColumn("base", F.floor("share"))
     place = F.row_number().over(Window.orderBy(F.round(F.col("share") - F.col("base"), 9).desc(), "district"))

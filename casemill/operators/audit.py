@@ -7,12 +7,13 @@ import hashlib
 import hmac
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.text import FULL_ID, UUID_OR_HASH
+from casemill.functions.text import contains_id
 from casemill.plans.registry import query
 from casemill.sources.views import AUDIT, CASES, NOW_MS, audit_log, cases, table
 
@@ -76,20 +77,49 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(now, seal(log, "case_id"), "case_id")
 
 
-@query("audit_leak_scan", """WITH t AS (SELECT 'documents' AS place, doc_id AS id, text AS txt FROM documents UNION ALL SELECT 'pages', page_id, concat_ws(' ', url, html) FROM pages UNION ALL SELECT 'events', event_id, concat_ws(' ', event_type, props) FROM events UNION ALL SELECT 'probe', 1, 'card 2345 6789 0123')
-SELECT place, count(*) AS rows, count(*) FILTER (WHERE regexp_matches(regexp_replace(txt, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\\b[0-9a-f]{64}\\b', ' ', 'g'), '(^|[^0-9])([2-9][0-9]{3})[ -]?([0-9]{4})[ -]?([0-9]{4})($|[^0-9])')) AS leaks FROM t GROUP BY place""")
-def audit_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with a full identifier in any text column, table by table; columns come from the schema."""
-    probe = spark.createDataFrame([(1, "card 2345 6789 0123")], "id long, txt string")
-    parts = []
-    for name, df in (("documents", table(spark, sf_dir, "documents").select("doc_id", "text")), ("pages", table(spark, sf_dir, "pages")), ("events", table(spark, sf_dir, "events")), ("probe", probe)):
+#: The tables of the domain with their keys and text columns, for the SQL; Spark takes the columns from the schemas.
+SCANNED = {
+    "documents": ("doc_id", ("text", "lang", "source")), "pages": ("page_id", ("url", "html")), "events": ("event_id", ("event_type", "props")),
+    "conversations": ("conv_id", ("role", "text")), "orders": ("o_orderkey", ("o_orderstatus", "o_orderpriority")), "lineitem": ("l_orderkey", ("l_returnflag", "l_linestatus")),
+    "customer": ("c_custkey", ("c_name", "c_mktsegment")), "nation": ("n_nationkey", ("n_name",)), "benchmark": ("item_id", ("text",)),
+}
+_LEAK = "regexp_matches(regexp_replace({}, '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|\\b[0-9a-f]{{64}}\\b', ' ', 'g'), '(^|[^0-9])([2-9][0-9]{{3}})[ -]?([0-9]{{4}})[ -]?([0-9]{{4}})($|[^0-9])')"
+_PROBE = "SELECT 1 AS id, 'card 2345 6789 0123' AS txt, 'in hash 123e4567-e89b-12d3-a456-426614174000' AS note"
+
+
+def leaks(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """place, column, id of every value of a text column that holds a full identifier, never the identifier; columns come from the schemas.
+
+    tables: name -> (rows, key). Each table is scanned once.
+    """
+    out = None
+    for name, (df, key) in tables.items():
         texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-        whole = F.regexp_replace(F.concat_ws(" ", *texts), UUID_OR_HASH, " ")
-        parts.append(df.select(F.lit(name).alias("place"), whole.rlike(FULL_ID).alias("leak")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("place").agg(F.count("*").alias("rows"), F.count_if("leak").alias("leaks"))
+        hit = [F.when(contains_id(F.col(c)), F.lit(c)) for c in texts]
+        rows = df.select(F.lit(name).alias("place"), F.col(key).cast("long").alias("id"), F.explode(F.array_compact(F.array(*hit))).alias("column"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
+    return {t: (table(spark, sf_dir, t), k) for t, (k, _) in SCANNED.items()} | {"probe": (spark.sql(_PROBE), "id")}
+
+
+@query("audit_leak_places", " UNION ALL ".join([f"SELECT '{t}' AS place, CAST({k} AS BIGINT) AS id, '{c}' AS \"column\" FROM {t} WHERE {_LEAK.format(c)}" for t, (k, cs) in SCANNED.items() for c in cs] + ["SELECT 'probe', 1, 'txt'"]))
+def audit_leak_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where full identifiers stand, in every text column of the domain's tables."""
+    return leaks(_scanned(spark, sf_dir)).select("place", "id", "column")
+
+
+@query("audit_leak_scan", "SELECT place, count(*) AS rows, count(*) FILTER (WHERE leak) AS leaks FROM (" + " UNION ALL ".join([f"SELECT '{t}' AS place, {' OR '.join(f'coalesce({_LEAK.format(c)}, FALSE)' for c in cs)} AS leak FROM {t}" for t, (_, cs) in SCANNED.items()] + ["SELECT 'probe', TRUE"]) + ") GROUP BY place")
+def audit_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a full identifier in any text column, table by table, over all tables of the domain; columns come from the schemas."""
+    out = None
+    for name, (df, _) in _scanned(spark, sf_dir).items():
+        leak = reduce(lambda a, b: a | b, [F.coalesce(contains_id(F.col(f.name)), F.lit(False)) for f in df.schema if f.dataType.simpleString() == "string"])
+        part = df.agg(F.count("*").alias("rows"), F.count_if(leak).alias("leaks")).select(F.lit(name).alias("place"), "rows", "leaks")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("audit_retention_due", f"WITH {CASES} SELECT case_id, decided_ms FROM cases WHERE status = 'APPROVED' AND NOT historical AND decided_ms <= {NOW_MS} - CAST(730 AS BIGINT) * 86400000")

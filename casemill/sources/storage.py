@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 import io
-import tempfile
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.text import redact_id
+from casemill.sources.shared import shared_dir
 
 TRUTH = "packet_id string, expected_status string, documents map<string, struct<type: string, fields: map<string, string>>>, name_checks array<struct<a: string, b: string, expected: string>>, expected_flags array<struct<code: string, severity: string, action: string>>"
 ANSWERS = {"yes": True, "same": True, "true": True, "no": False, "different": False, "false": False}
 IMAGE = r"(?i)\.(jpe?g|png|webp|heic)$"
+HIDDEN = r"(^|/)(\.|__MACOSX/)"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='casemill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at}/{what}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def packets(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +54,11 @@ def pairs_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     for name, default in (("community", "Unknown"), ("expected_same", None), ("name_a", None), ("name_b", None)):
         if name not in read.columns:
             read = read.withColumn(name, F.lit(default).cast("string"))
-    checked = check_pairs(read.withColumn("row", F.monotonically_increasing_id() + 2))
-    errors = checked.where("error IS NOT NULL").select("row", "error")
+    # the header is row 1; a file is read whole (multiLine), so that its rows keep their order in one partition, and each file counts its own
+    place = Window.partitionBy("file").orderBy("at")
+    read = read.withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
+    checked = check_pairs(read.withColumn("row", F.row_number().over(place) + 1).drop("at"))
+    errors = checked.where("error IS NOT NULL").select("file", "row", "error")
     return checked.where("error IS NULL").join(errors.limit(1).select(F.lit(True).alias("any")), F.lit(True), "left_anti"), errors
 
 
@@ -73,19 +74,21 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", sniff(F.col("content")).alias("kind"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where("kind <> 'zip'")
 
 
-def zipped_images(spark: SparkSession, path: str) -> DataFrame:
-    """archive, name, content of the images in ZIP files; hidden and system entries are left out."""
+def zipped_images(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """archive, name, content of the images in ZIP files; hidden and system entries are never inflated, nor are those over ``most_bytes``, whose content is null."""
+    image, hidden = re.compile(IMAGE), re.compile(HIDDEN)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.itertuples():
                 with zipfile.ZipFile(io.BytesIO(row.content)) as z:
                     for entry in z.infolist():
-                        yield pd.DataFrame({"archive": [row.path], "name": [entry.filename], "content": [z.read(entry)]})
+                        if image.search(entry.filename) and not hidden.search(entry.filename):
+                            content = z.read(entry) if entry.file_size <= most_bytes else None
+                            yield pd.DataFrame({"archive": [row.path], "name": [entry.filename], "content": [content]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    inside = files.mapInPandas(run, "archive string, name string, content binary")
-    return inside.where(F.col("name").rlike(IMAGE) & ~F.col("name").rlike(r"(^|/)(\.|__MACOSX/)"))
+    return files.mapInPandas(run, "archive string, name string, content binary")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ Each view is written once as expressions that Spark and DuckDB both read, so tha
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
 #: The day on which ages and pending days are counted, and its milliseconds.
@@ -90,11 +91,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an application, with the district of the applicant."""
-    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-    return joined.selectExpr(*[f"{v} AS {k}" for k, v in case_columns(False).items()])
+def cases(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """One row an application, from one scan; no district, see with_district().
+
+    ``where`` is a predicate over the source's own columns, which reaches the reader; filters on derived columns don't.
+    """
+    orders = table(spark, sf_dir, "orders")
+    kept = orders.where(where) if where else orders
+    return kept.selectExpr(*[f"{v} AS {k}" for k, v in case_columns(False).items() if k != "district"])
+
+
+def with_district(cases_: DataFrame, sf_dir: str) -> DataFrame:
+    """Cases with the district of the applicant, who is one row of customer; null where it isn't stated."""
+    spark = cases_.sparkSession
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    of = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").select("c_custkey", "n_name")
+    joined = cases_.join(of, cases_.applicant_id == of.c_custkey, "left")
+    return joined.withColumn("district", F.expr("CASE WHEN applicant_id % 37 <> 0 THEN n_name END")).drop("c_custkey", "n_name")
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:

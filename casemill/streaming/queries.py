@@ -20,16 +20,16 @@ def stream_event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_tumbling_rate", "SELECT event_type, epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) // 3600000 AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by kind and hour, with late ones up to ten minutes awaited."""
+    """Events by kind and hour; a count is given again when it changes, and hours ten minutes behind the latest event are closed and forgotten."""
     s = events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "10 minutes")
     counts = s.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"))
     rows = counts.select("event_type", F.floor(F.unix_seconds(F.col("window.start")) / 3600).alias("hour"), "n")
-    return latest(settle(rows, "complete", "rates"), ["event_type", "hour"], ["batch"]).select("event_type", "hour", "n")
+    return latest(settle(rows, "update", "rates"), ["event_type", "hour"], ["batch"]).select("event_type", "hour", "n")
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First arrivals of a pair of user and kind."""
+    """First arrivals of a pair of user and kind, whenever the second comes: the state holds every pair seen, so it grows with the distinct pairs, not the events."""
     s = events(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
     return settle(s, "append", "arrivals").select("user_id", "event_type")
 
