@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import threading
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemill.sources.shared import drop, materialize, prefix_sums, shared_dir, temporaries  # noqa: F401
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,58 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine, as in tests, a temporary folder."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        set_dir = f"file://{tempfile.mkdtemp(prefix='casemill-')}"
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir
-
-
-_SCOPES = threading.local()
-
-
-@contextmanager
-def temporaries(spark: SparkSession, *keep: str) -> Iterator[None]:
-    """Tables that materialize() writes in this block are removed at its end, but those named in ``keep``: an enclosing block has them then."""
-    open_ = _SCOPES.__dict__.setdefault("open", [])
-    made: list[tuple[str, str]] = []
-    open_.append(made)
-    try:
-        yield
-    finally:
-        open_.pop()
-        for what, path in made:
-            if what not in keep:
-                _remove(spark, path)
-            elif open_:
-                open_[-1].append((what, path))
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut, and each task's work is done once even if executors are lost later."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    if open_ := _SCOPES.__dict__.get("open"):
-        open_[-1].append((what, path))
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._casemill_path = path
-    return out
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Remove a materialized table that nothing reads any more."""
-    _remove(df.sparkSession, df._casemill_path)
-
-
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
     """key, text and label of at most ``most`` different rows: labels with the smallest hashes of their keys, then rows with the smallest hashes.
 
@@ -105,24 +49,5 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], what: str, partitions: int | None = None) -> DataFrame:
-    """df with running totals (inclusive) of the given long columns in one global order, without gathering rows in one task.
-
-    Rows are range-partitioned and sorted by ``order``, which should be unique, and written; each partition's totals (one row a
-    partition) give the offset of the next ones. ``sums`` maps a new column to the column that it adds up.
-    """
-    keys = [f"__k{i}" for i in range(len(order))]
-    df = df.withColumns(dict(zip(keys, order)) | {f"__v_{n}": c.cast("long") for n, c in sums.items()})
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()), what)
-    totals = ranged.groupBy("__part").agg(*[F.sum(f"__v_{s}").alias(f"__t_{s}") for s in sums])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums])
-    within = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumns({s: F.sum(f"__v_{s}").over(within) for s in sums}).join(F.broadcast(offsets), "__part")  # a row for each partition
-    out = out.withColumns({s: F.col(s) + F.col(f"__o_{s}") for s in sums})
-    return out.drop("__part", *keys, *[f"__v_{s}" for s in sums], *[f"__o_{s}" for s in sums])
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

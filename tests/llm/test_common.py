@@ -6,15 +6,11 @@ from types import SimpleNamespace
 import pytest
 
 from casemill.llm import chosen_path, common, decision_list, fair_mix, hilbert, toxicity
-
-
-def left(spark):
-    at = common.shared_dir(spark).removeprefix("file://")
-    return {x.rsplit("-", 1)[0] for x in os.listdir(at)} if os.path.isdir(at) else set()
+from casemill.sources import shared
 
 
 def test_only_what_a_plan_reads_stays(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
     words = "one two three four five six seven eight nine ten".split()
     docs = spark.createDataFrame([(i, " ".join(words[i % 3 :]) + f" {i // 3}", "en", f"s{i % 2}") for i in range(60)], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
