@@ -1,4 +1,4 @@
-"""The rules of screening: findings in order, status, notice eligibility, rerouting, priority order."""
+"""Screening rules over one row of readings a case, one finding a step; screen.py has them with evidence, for each document and field."""
 
 from __future__ import annotations
 
@@ -87,16 +87,13 @@ def rule_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(readings(spark, sf_dir)).select("case_id", status(F.col("flags")).alias("status"))
 
 
-@query("rule_notice_eligible", f"""WITH {FLAGS}, g AS (SELECT case_id, bool_or(code = 'DUPLICATE_SUSPECTED' AND resolution <> 'OVERRIDDEN') AS dup, bool_or(action = 'citizen' AND resolution <> 'OVERRIDDEN') AS citizen, array_to_string(list_sort(list(DISTINCT code) FILTER (WHERE severity = 'critical' AND action = 'officer' AND resolution = 'OPEN')), ',') AS blocked_by FROM flags GROUP BY case_id)
-SELECT case_id, citizen AND NOT dup AS allowed, coalesce(blocked_by, '') AS blocked_by FROM g""")
+@query("rule_notice_eligible", f"""WITH {FLAGS}, g AS (SELECT case_id, bool_or(code = 'DUPLICATE_SUSPECTED' AND resolution <> 'OVERRIDDEN') AS dup, bool_or(action = 'citizen' AND resolution <> 'OVERRIDDEN') AS citizen FROM flags GROUP BY case_id)
+SELECT case_id, citizen AND NOT dup AS allowed, CASE WHEN dup THEN 'DUPLICATE_SUSPECTED' ELSE '' END AS blocked_by FROM g""")
 def rule_notice_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A notice may go out if something is asked of the citizen and no duplicate is suspected."""
+    """Over the findings in force: a notice may go out if something is asked of the citizen and no duplicate is suspected, which is what blocks it."""
     force = F.col("resolution") != "OVERRIDDEN"
-    officer = (F.col("severity") == "critical") & (F.col("action") == "officer") & (F.col("resolution") == "OPEN")
-    g = flags(spark, sf_dir).groupBy("case_id").agg(
-        F.some((F.col("code") == "DUPLICATE_SUSPECTED") & force).alias("dup"), F.some((F.col("action") == "citizen") & force).alias("citizen"), F.array_join(F.array_sort(F.collect_set(F.when(officer, F.col("code")))), ",").alias("blocked_by")
-    )
-    return g.select("case_id", (F.col("citizen") & ~F.col("dup")).alias("allowed"), "blocked_by")
+    g = flags(spark, sf_dir).groupBy("case_id").agg(F.some((F.col("code") == "DUPLICATE_SUSPECTED") & force).alias("dup"), F.some((F.col("action") == "citizen") & force).alias("citizen"))
+    return g.select("case_id", (F.col("citizen") & ~F.col("dup")).alias("allowed"), F.when(F.col("dup"), "DUPLICATE_SUSPECTED").otherwise("").alias("blocked_by"))
 
 
 @query("rule_reroute_lowconf", f"""WITH {CASES}, {_READ}, {_FOUND} SELECT f.case_id, f.step, f.code, CASE WHEN f.action = 'citizen' AND (t.name_conf < {CONFIDENT} OR t.dob_conf < {CONFIDENT}) THEN 'officer' ELSE f.action END AS action FROM found f JOIN typed t ON f.case_id = t.case_id""")
