@@ -43,6 +43,21 @@ def test_recall_without_and_with_structure(spark, monkeypatch):
     centres = rng.standard_normal((40, 64))
     y = (centres[rng.integers(0, 40, 3000)] + 0.3 * rng.standard_normal((3000, 64))).astype(np.float32).astype(float)
     assert recall(spark, y) >= 0.9
+    z = y * rng.lognormal(0, 1, (3000, 1))  # lengths differ
+    assert recall(spark, z.astype(np.float32).astype(float)) >= 0.9
+
+
+def test_structure_saves_work():
+    """Close neighbours end the ascent early: on clustered rows most are never scored, without structure many are."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((200, 64))
+    close = centres[rng.integers(0, 200, 8000)] + 0.1 * rng.standard_normal((8000, 64))
+    loose = rng.standard_normal((8000, 64))
+    scored = {}
+    for name, x in (("close", close), ("loose", loose)):
+        forest = prefix_forest.Forest(x / np.linalg.norm(x, axis=1, keepdims=True))
+        scored[name] = np.mean([len(f) for f, _ in forest.search(forest.x[:50], np.full(50, -np.inf), 20, 0.95)]) / len(x)
+    assert scored["close"] < 0.05 < scored["loose"]
 
 
 def test_odd_vectors_ties_and_few_rows(spark):
@@ -50,5 +65,7 @@ def test_odd_vectors_ties_and_few_rows(spark):
     df = frame(spark, [[1, 0], [1, 0], [0.5, 0], [-1, 0]], [*extra, (1, [1.0, 0.0], 0)])
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in prefix_forest.nearest(df, F.col("vec_id") % 20 == 0, 3).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5)]
+    mixed = frame(spark, [[1, 0]], [(20, [1.0, 1.0, 1.0], 0), (21, [2.0, 0.0, 0.0], 0), (20, [0.5, 0.0, 0.0], 0)])  # each length by itself; of an id's vectors the least asks
+    assert [(r.query_id, r.vec_id, r.score) for r in prefix_forest.nearest(mixed, F.col("vec_id") % 20 == 0, 3).collect()] == [(20, 21, 1.0)]
     assert prefix_forest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert prefix_forest.nearest(df.limit(1), F.col("vec_id") % 20 == 0).count() == 0
