@@ -20,14 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.bpe import Recent
-from casemill.llm.common import materialize, union_all
+from casemill.llm.common import drop, materialize, temporaries, union_all
 
 WORDS, SIMILAR = 5, 0.8
 #: Minima of a set; how many of them similar sets agree on at least (a pair at 0.8 agrees on 38.4 of 48, with a deviation of 2.8).
 MINIMA, AGREE = 48, 27
 #: Largest node that brute force compares at once; side of the blocks of a larger one; splits of a path; share of a node's rows in one child
-#: from which splitting is given up.
-SMALL, BLOCK, DEPTH, STUCK = 64, 512, 4, 0.7
+#: from which splitting is given up. Unlike sets seldom share three sampled tokens, and what a fourth split would still take apart costs less
+#: in blocks than the three further runs that a path of four splits needs for the same recall.
+SMALL, BLOCK, DEPTH, STUCK = 64, 512, 3, 0.7
 #: Chance that a node splits by a second token, so that on average 1 / 0.8 children take a set.
 SECOND = 0.25
 RECALL = 0.999
@@ -281,12 +282,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first, as the counts of nodes are: Spark splits a join of plain shuffles at a hub that has very many neighbours
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lows")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        star = materialize(small, "stars")
+        old, star = star, materialize(small, "stars")
+        drop(old)
+        drop(low)
         now = star.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return star.select(F.col("a").alias("set_id"), F.col("b").alias("class"))
@@ -295,27 +299,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classified(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and set_id, pick and least (the first row of the set and of its class: none, key, text_hash), n_links."""
-    docs = docs.select(F.col(key).alias(key), F.col(text).alias(text))
-    rows = materialize(sketches(docs, key, text), "sketches")
-    # null keys last: the least of (is null, key, text)
-    pick = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash")))
-    sets = materialize(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(pick.alias("pick"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("minima").alias("minima")), "sets")
-    members = materialize(leaves(sets, runs_for(recall)), "leaves")
-    nodes = members.groupBy("set_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # at most runs * 2 ** DEPTH
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = _cells(members.join(nodes, "set_id").join(sets.select("set_id", "n", "minima"), "set_id")).select("cell", "node", "side", "nodes", "set_id", "n", "minima")
-    near = near.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_by_minima, "cell long, node long, side int, nodes array<long>, set_id binary")
-    near = materialize(near, "near")
-    wanted = near.select("set_id").distinct().join(sets.select("set_id", "pick", "copies"), "set_id").select("set_id", "copies", "pick.key", "pick.text_hash")
-    stored = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    texts = wanted.join(stored, wanted["key"].eqNullSafe(stored["key"]) & (wanted["text_hash"] == stored["text_hash"])).select("set_id", "copies", "text")
-    exact = near.join(texts, "set_id").select("cell", "node", "side", "nodes", "set_id", "copies", "text")
-    links = materialize(exact.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_exactly, "set_id binary, least binary, links long"), "links")
-    classes = components(links)
-    counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
-    of = sets.join(classes, "set_id", "left").join(counts, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-    least = of.groupBy("class").agg(F.min("pick").alias("least"))
-    return rows, of.join(least, "class").select("set_id", "pick", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    with temporaries(docs.sparkSession, "sketches", "classes"):
+        docs = docs.select(F.col(key).alias(key), F.col(text).alias(text))
+        rows = materialize(sketches(docs, key, text), "sketches")
+        # null keys last: the least of (is null, key, text)
+        pick = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash")))
+        sets = materialize(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(pick.alias("pick"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("minima").alias("minima")), "sets")
+        members = materialize(leaves(sets, runs_for(recall)), "leaves")
+        nodes = members.groupBy("set_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # at most runs * 2 ** DEPTH
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        near = _cells(members.join(nodes, "set_id").join(sets.select("set_id", "n", "minima"), "set_id")).select("cell", "node", "side", "nodes", "set_id", "n", "minima")
+        near = near.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_by_minima, "cell long, node long, side int, nodes array<long>, set_id binary")
+        near = materialize(near, "near")
+        wanted = near.select("set_id").distinct().join(sets.select("set_id", "pick", "copies"), "set_id").select("set_id", "copies", "pick.key", "pick.text_hash")
+        stored = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+        texts = wanted.join(stored, wanted["key"].eqNullSafe(stored["key"]) & (wanted["text_hash"] == stored["text_hash"])).select("set_id", "copies", "text")
+        exact = near.join(texts, "set_id").select("cell", "node", "side", "nodes", "set_id", "copies", "text")
+        links = materialize(exact.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_exactly, "set_id binary, least binary, links long"), "links")
+        classes = components(links)
+        counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
+        of = sets.join(classes, "set_id", "left").join(counts, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
+        least = materialize(of.groupBy("class").agg(F.min("pick").alias("least")), "least")
+        classes = materialize(of.join(least, "class").select("set_id", "pick", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    return rows, classes
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
