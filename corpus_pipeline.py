@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm import bpe, chosen_path, decision_list, fair_mix, pii
-from casemill.llm.common import materialize, table
+from casemill.llm.common import materialize, table, temporaries
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read back."""
+    """All stages over documents; each result but the last is written to the shared folder and read back, and removed after the next one."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    with temporaries(spark, STAGES[-2][0]):
+        for name, stage in STAGES[:-1]:
+            with temporaries(spark, name):
+                docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
