@@ -1,7 +1,8 @@
 """License scans by sentence rules (operator 8).
 
-Each normalised sentence that is known maps to a one-letter identifier; the sequence of a document's identifiers is matched, from the left,
-against ordered rules, of which the first that fits wins. All of it is Spark expressions over whole texts.
+Each normalised sentence that is known maps to a one-character identifier; the sequence of a document's identifiers is matched, from the
+left, against ordered rules, of which the first that fits wins. A few unknown sentences may stand between those of a rule (names, dates,
+conditions in other words); more of them part it. All of it is Spark expressions over whole texts.
 """
 
 from __future__ import annotations
@@ -39,7 +40,35 @@ SENTENCES = {
     "X": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "Y": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "Z": "All rights reserved",
+    "a": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "b": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    "c": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "d": "See the GNU Lesser General Public License for more details",
+    "e": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "f": "See the GNU Affero General Public License for more details",
+    "g": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "h": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "i": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "j": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "k": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "l": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "m": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "n": "Distributed under the Boost Software License, Version 1.0",
+    "o": "This software is provided 'as-is', without any express or implied warranty",
+    "p": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "q": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "r": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "s": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "t": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "u": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "v": "Licensed under the GNU General Public License, version 2",
+    "w": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "x": "Licensed under the EUPL, Version 1.2",
+    "y": "As a special exception, the copyright holders of this library give you permission to link this library with independent modules to produce an executable, regardless of the license terms of these independent modules",
+    "z": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: The most unknown sentences between two of one rule.
+GAP = 12
 #: Ordered rules: a pattern over identifiers, the license, and its kind. Longer statements come before the shorter ones they begin with.
 RULES = (
     ("BC?D?E?", "Apache-2.0", "permissive"),
@@ -48,16 +77,33 @@ RULES = (
     ("[FG]H?", "MIT", "permissive"),
     ("H", "MIT", "permissive"),
     ("KM?N?", "GPL-3.0-or-later", "copyleft"),
+    ("LM?N?y", "GPL-2.0-or-later WITH exception", "copyleft"),
     ("LM?N?", "GPL-2.0-or-later", "copyleft"),
     ("J", "GPL-3.0-only", "copyleft"),
     ("[OS]", "CC-BY-NC-4.0", "noncommercial"),
     ("[PR]", "CC-BY-4.0", "permissive"),
     ("Q", "CC-BY-SA-4.0", "copyleft"),
-    ("T", "MPL-2.0", "copyleft"),
+    ("Ti?", "MPL-2.0", "copyleft"),
     ("U", "Unlicense", "permissive"),
-    ("VW", "BSD-3-Clause", "permissive"),
-    ("V", "BSD-2-Clause", "permissive"),
+    ("Vj?k?lW", "BSD-4-Clause", "permissive"),
+    ("Vj?k?W", "BSD-3-Clause", "permissive"),
+    ("Vj?k?", "BSD-2-Clause", "permissive"),
     ("XI?", "ISC", "permissive"),
+    ("z", "0BSD", "permissive"),
+    ("ac?d?", "LGPL-2.1-or-later", "copyleft"),
+    ("bc?d?", "LGPL-3.0-or-later", "copyleft"),
+    ("eM?f?", "AGPL-3.0-or-later", "copyleft"),
+    ("[hv]M?N?", "GPL-2.0-only", "copyleft"),
+    ("g", "EPL-2.0", "copyleft"),
+    ("x", "EUPL-1.2", "copyleft"),
+    ("n", "BSL-1.0", "permissive"),
+    ("m", "BSL-1.0", "permissive"),
+    ("opq", "Zlib", "permissive"),
+    ("r", "CC-BY-SA-4.0", "copyleft"),
+    ("s", "CC-BY-ND-4.0", "restricted"),
+    ("t", "CC-BY-NC-ND-4.0", "noncommercial"),
+    ("u", "CC-BY-NC-SA-4.0", "noncommercial"),
+    ("w", "WTFPL", "permissive"),
     ("Y", "CC0-1.0", "permissive"),
     ("Z", "proprietary", "restricted"),
 )
@@ -66,7 +112,7 @@ ALL = "|".join(f"(?:{p})" for p, *_ in RULES)
 #: Where a known sentence goes on after a blank line: sentence H, which licence files set as two paragraphs.
 JOINED = r"(subject[ \t\r\n]+to[ \t\r\n]+the[ \t\r\n]+following[ \t\r\n]+conditions:)[ \t\r\n]+(?=the[ \t\r\n]+above[ \t\r\n]+copyright[ \t\r\n]+notice)"
 #: Words of which every known sentence holds one, however it is wrapped.
-HINT = "licen[sc]e|permission|permitted|free[^a-z0-9]+software|warrant|copyright|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain"
+HINT = "licen[sc]e|permission|permitted|redistribution|eupl|advertising|as[^a-z0-9]+is|held[^a-z0-9]+liable|special[^a-z0-9]+exception|of[^a-z0-9]+the[^a-z0-9]+mpl|free[^a-z0-9]+software|warrant|copyright|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain"
 
 
 def normalised(sentence: str) -> str:
@@ -84,14 +130,15 @@ def table() -> dict[str, str]:
 
 
 def identifiers(text: Column, wrapped: bool) -> Column:
-    """Identifiers of the known sentences of a text, in order, as one string; ``wrapped`` reads single line breaks as blanks."""
+    """Identifiers of the known sentences of a text, in order, as one string, with _ where more than GAP unknown ones stand between; ``wrapped`` reads single line breaks as blanks."""
     known = table()
     low = F.regexp_replace(F.lower(text), JOINED, "$1 ")
     low = F.regexp_replace(low, r"\n[ \t\r]*\n", "\x01") if wrapped else F.translate(low, "\n", "\x01")
     cut = F.regexp_replace(F.regexp_replace(low, END, "\x01"), OTHER, " ")
-    parts = F.filter(F.transform(F.split(cut, "\x01"), lambda s: F.trim(s)), lambda s: s.isin(*known))
-    at = F.array(*map(F.lit, known))
-    return F.array_join(F.transform(parts, lambda s: F.element_at(F.array(*map(F.lit, known.values())), F.array_position(at, s).cast("int"))), "")
+    parts = F.filter(F.transform(F.split(cut, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+    of = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    marks = F.array_join(F.transform(parts, lambda s: F.coalesce(F.try_element_at(of, s), F.lit("."))), "")
+    return F.replace(F.regexp_replace(marks, f"[.]{{{GAP + 1},}}", "_"), F.lit("."), F.lit(""))
 
 
 def of_rules(found: Column) -> Column:
@@ -118,7 +165,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ids = [F.when(hint, identifiers(texts, w)).otherwise("") for w in (False, True)]
     out = df.select(F.col(key).alias(key), ids[0].alias("__a"), ids[1].alias("__b"))
     licenses = F.array_sort(F.array_distinct(F.concat(of_rules(F.col("__a")), of_rules(F.col("__b")))))
-    out = out.select(key, F.greatest(F.length("__a"), F.length("__b")).cast("long").alias("n_sentences"), licenses.alias("__l"))
+    out = out.select(key, F.greatest(*[F.length(F.replace(F.col(c), F.lit("_"), F.lit(""))) for c in ("__a", "__b")]).cast("long").alias("n_sentences"), licenses.alias("__l"))
     kind = F.create_map(*[F.lit(x) for _, license_, k in {r[1]: r for r in RULES}.values() for x in (license_, k)])
     kinds = F.array_sort(F.array_distinct(F.transform("__l", lambda x: F.element_at(kind, x))))
     return out.select(key, "n_sentences", F.array_join("__l", ",").alias("licenses"), F.array_join(kinds, ",").alias("kinds"))
@@ -134,13 +181,14 @@ def oracle() -> str:
     def ids(wrapped: bool) -> str:
         low = "regexp_replace(lower(text), '\\n[ \\t\\r]*\\n', chr(1), 'g')" if wrapped else "replace(lower(text), chr(10), chr(1))"
         cut = f"regexp_replace(regexp_replace({low}, '{END}', chr(1), 'g'), '{OTHER}', ' ', 'g')"
-        parts = f"list_filter(list_transform(string_split({cut}, chr(1)), lambda s: trim(s)), lambda s: list_contains([{quoted(known)}], s))"
-        return f"coalesce(array_to_string(list_transform({parts}, lambda s: [{quoted(known.values())}][list_position([{quoted(known)}], s)]), ''), '')"
+        parts = f"list_filter(list_transform(string_split({cut}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+        marks = f"array_to_string(list_transform({parts}, lambda s: coalesce([{quoted(known.values())}][list_position([{quoted(known)}], s)], '.')), '')"
+        return f"coalesce(replace(regexp_replace({marks}, '[.]{{{GAP + 1},}}', '_', 'g'), '.', ''), '')"
 
     found = lambda c: f"list_transform(regexp_extract_all({c}, '{ALL}'), lambda m: CASE {cases} END)"
     return f"""
 WITH i AS (SELECT doc_id, {ids(False)} AS a, {ids(True)} AS b FROM documents),
-l AS (SELECT doc_id, greatest(length(a), length(b))::BIGINT AS n_sentences, list_sort(list_distinct(list_concat({found("a")}, {found("b")}))) AS l FROM i)
+l AS (SELECT doc_id, greatest(length(replace(a, '_', '')), length(replace(b, '_', '')))::BIGINT AS n_sentences, list_sort(list_distinct(list_concat({found("a")}, {found("b")}))) AS l FROM i)
 SELECT doc_id, n_sentences, coalesce(array_to_string(l, ','), '') AS licenses,
        coalesce(array_to_string(list_sort(list_distinct(list_transform(l, lambda x: CASE {kinds} END))), ','), '') AS kinds
 FROM l

@@ -1,5 +1,7 @@
 """Operator 8: whole license notices, wrapped and on lines, and the SQL."""
 
+import textwrap
+
 import duckdb
 
 from casemill.llm import licenses as li
@@ -126,8 +128,32 @@ FILES = [
 ]
 
 
+#: Sentences of further licences as files set them: wrapped at 72 columns, a full stop after each.
+WRAPPED = {
+    "VjklW": "BSD-4-Clause", "z": "0BSD", "LMNy": "GPL-2.0-or-later WITH exception", "acd": "LGPL-2.1-or-later", "bcd": "LGPL-3.0-or-later", "eMf": "AGPL-3.0-or-later", "hMN": "GPL-2.0-only",
+    "g": "EPL-2.0", "x": "EUPL-1.2", "m": "BSL-1.0", "opq": "Zlib", "r": "CC-BY-SA-4.0", "s": "CC-BY-ND-4.0", "t": "CC-BY-NC-ND-4.0", "u": "CC-BY-NC-SA-4.0", "w": "WTFPL",
+}
+FILES += [(textwrap.fill(". ".join(li.SENTENCES[c] for c in ids) + ".", 72), name) for ids, name in WRAPPED.items()]
+
+
 def test_wrapped_license_files(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FILES)], "doc_id long, text string")
     got = {r.doc_id: r.licenses for r in li.scan(df).collect()}
     assert {i: (FILES[i][0][:40], x) for i, x in got.items()} == {i: (t[:40], want) for i, (t, want) in enumerate(FILES)}
     assert {name for _, name in FILES} == {name for _, name, _ in li.RULES}
+
+
+def test_halves_far_apart_and_near_misses(spark):
+    v, w, j, k = (li.SENTENCES[x] for x in "VWjk")
+    rows = [
+        ("near", f"{v}:\n{j}.\n{k}.\nNames differ here.\n{w}.", "BSD-3-Clause"),
+        ("far", f"{v}. " + "One more plain sentence. " * (li.GAP + 1) + f"{w}.", "BSD-2-Clause"),
+        ("just near", f"{v}. " + "One more plain sentence. " * li.GAP + f"{w}.", "BSD-3-Clause"),
+        ("word missing", v.replace("source and binary", "binary") + ".", ""),
+        ("or later", f"{li.SENTENCES['a']}.\n{li.SENTENCES['c']}.\n{li.SENTENCES['d']}.", "LGPL-2.1-or-later"),
+        ("exception", f"{li.SENTENCES['L']}. {li.SENTENCES['M']}. {li.SENTENCES['N']}. {li.SENTENCES['y']}.", "GPL-2.0-or-later WITH exception"),
+        ("affero", f"{li.SENTENCES['e']}. {li.SENTENCES['f']}.", "AGPL-3.0-or-later"),
+        ("zlib", f"{li.SENTENCES['o']}. {li.SENTENCES['p']}. {li.SENTENCES['q']}:", "Zlib"),
+    ]
+    got = {r.doc_id: r.licenses for r in li.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")).collect()}
+    assert got == {k: want for k, _, want in rows}
