@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemill.operators.names_queries import match_names, none_known
 from casemill.plans.registry import query
-from casemill.sources.views import table
+from casemill.sources.views import literal, table
 
 _SCORED = "scored AS (SELECT d.lang AS grp, l.quality AS field, CASE WHEN d.n_chars % 3 = 0 THEN 'high' WHEN d.n_chars % 3 = 1 THEN 'medium' ELSE 'low' END AS stated, CAST(d.doc_id % 7 <> 0 AS INT) AS correct, CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE l.toxic = 1 END AS same, CASE d.doc_id % 5 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'DIFFERENT' ELSE 'SAME' END AS verdict FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
@@ -53,3 +54,27 @@ def fairness(pairs: DataFrame, group: str) -> DataFrame:
         F.round(F.when(decided == 0, 1.0).otherwise(n("correct") / decided), 6).alias("accuracy"), F.round(n("referred") / F.count("*"), 6).alias("referral_rate"),
     )
     return by.withColumn(group, F.coalesce(group, F.lit("All")))
+
+
+# Labelled pairs of names by community, whether they name one person (null: unclear), and the outcome that the rules give.
+PAIRS = (
+    ("Meitei", "Okram Ibochou Singh", "Okram Ibochou", True, "correct"), ("Meitei", "Laishram Sanahal Meitei", "Laishram Sanahal Singh", True, "correct"), ("Meitei", "W. Jiten Singh", "Wangkhem Jiten Singh", True, "correct"),
+    ("Meitei", "Kh. Bimol Singh", "Khumanthem Bimol Singh", True, "referred"), ("Meitei", "Yumnam Nandini Devi", "Yumnam Nandinee Debi", True, "correct"), ("Meitei", "Okram Sanatombi Devi", "Okram Sanatomba Singh", False, "correct"),
+    ("Meitei", "Thangjam Ratan Singh", "Thokchom Ratan Singh", False, "correct"), ("Meitei", "Laishram Ongbi Memcha Devi", "Yumnam Memcha Devi", None, "referred"),
+    ("Naga", "R. Muivah Shangreiphao", "Muivah Shangreiphao", True, "correct"), ("Naga", "Muivah Ningreingam", "Ningreingam Muivah", True, "correct"), ("Naga", "Muivah Chihanpam", "Muivah Pamreishang", False, "correct"),
+    ("Kuki-Zo", "Gangte Lalrinpuia", "Lalrinpuia Gangte", True, "correct"), ("Kuki-Zo", "Lalthansang Gangte", "Lalbiakzuala Gangte", False, "correct"), ("Kuki-Zo", "Paominlun Gangte", "Paominlun", True, "correct"),
+    ("Pangal", "Md. Rafiuddin Khan", "Mohd Rafiuddin Khan", True, "correct"), ("Pangal", "Nasima Begum", "Naseema Bibi", True, "correct"), ("Pangal", "Md. Salim Khan", "Md. Kalimuddin Khan", False, "correct"), ("Pangal", "Begum", "Sahida Begum", None, "unscored"),
+    ("Nepali", "Bishnu Prasad Thapa", "Bisnu Prasad Thapa", True, "correct"), ("Nepali", "B.P. Thapa", "Bishnu Prasad Thapa", True, "correct"), ("Nepali", "Maya Thapa", "Mina Thapa", False, "correct"),
+)
+PAIR_ROWS, PAIRS_SQL = literal([p for p in PAIRS], "community string, a string, b string, same boolean, wanted string")
+
+
+@query("eval_name_fairness", f"""WITH o AS (SELECT community, wanted AS outcome FROM {PAIRS_SQL})
+SELECT coalesce(community, 'All') AS community, count(*) AS pairs, count(*) FILTER (WHERE outcome IN ('correct', 'false_match', 'false_non_match')) AS decided, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'false_match') AS false_matches,
+count(*) FILTER (WHERE outcome = 'false_non_match') AS false_non_matches, count(*) FILTER (WHERE outcome = 'referred') AS referred, count(*) FILTER (WHERE outcome = 'unscored') AS unscored,
+round(CASE WHEN count(*) FILTER (WHERE outcome IN ('correct', 'false_match', 'false_non_match')) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE outcome = 'correct') / count(*) FILTER (WHERE outcome IN ('correct', 'false_match', 'false_non_match'))::DOUBLE END, 6) AS accuracy,
+round(count(*) FILTER (WHERE outcome = 'referred') / count(*)::DOUBLE, 6) AS referral_rate FROM o GROUP BY ROLLUP(community)""")
+def eval_name_fairness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matcher's verdicts on labelled pairs, by community and overall."""
+    judged = PAIR_ROWS(spark).withColumn("m", match_names("a", "b", none_known())).select("community", "same", F.col("m.verdict").alias("verdict"))
+    return fairness(judged, "community")

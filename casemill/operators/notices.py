@@ -13,9 +13,21 @@ from casemill.sources.views import CASES, FLAGS, cases, flags, literal, with_dis
 TEMPLATE = "Dear {name}, about {reference}: {items}. Please reply by {due}."
 # What a notice says for a finding.
 ITEMS = {"MISSING_DOCUMENT": "a document is missing", "MISSING_FIELD": "a field is blank", "IFSC_INVALID": "the bank code is wrong", "MISSING_SIGNATURE": "the form is not signed"}
-# Bengali consonants and vowel signs with their Meetei Mayek letters.
-BENGALI = "কখগঘঙচছজঝটঠডঢণতথদধনপফবভমযরলশষসহািীুূেো"
-MAYEK = "ꯀꯈꯒꯘꯉꯆꯁꯖꯓꯇꯊꯗꯙꯅꯇꯊꯗꯙꯅꯄꯐꯕꯚꯃꯌꯔꯂꯁꯁꯁꯍꯥꯤꯤꯨꯨꯦꯣ"
+# Bengali letters, signs and digits with their Meetei Mayek letters; those of several letters; and the closing forms of nine consonants.
+LETTERS = {
+    "ক": "ꯀ", "খ": "ꯈ", "গ": "ꯒ", "ঘ": "ꯘ", "ঙ": "ꯉ", "চ": "ꯆ", "ছ": "ꯆ", "জ": "ꯖ", "ঝ": "ꯓ", "ঞ": "ꯅ", "ট": "ꯇ", "ঠ": "ꯊ", "ড": "ꯗ", "ঢ": "ꯙ", "ণ": "ꯅ", "ত": "ꯇ", "থ": "ꯊ", "দ": "ꯗ", "ধ": "ꯙ",
+    "ন": "ꯅ", "প": "ꯄ", "ফ": "ꯐ", "ব": "ꯕ", "ভ": "ꯚ", "ম": "ꯃ", "য": "ꯌ", "র": "ꯔ", "ৰ": "ꯔ", "ল": "ꯂ", "ৱ": "ꯋ", "শ": "ꯁ", "ষ": "ꯁ", "স": "ꯁ", "হ": "ꯍ", "\u09df": "ꯌ", "\u09dc": "ꯔ", "\u09dd": "ꯔ",
+}
+SIGNS = {
+    "অ": "ꯑ", "ই": "ꯏ", "ঈ": "ꯏ", "উ": "ꯎ", "ঊ": "ꯎ", "া": "ꯥ", "ি": "ꯤ", "ী": "ꯤ", "ু": "ꯨ", "ূ": "ꯨ", "ে": "ꯦ", "ৈ": "ꯩ", "ো": "ꯣ", "ৌ": "ꯧ", "ং": "ꯡ", "ঁ": "ꯪ", "ৎ": "ꯠ", "।": "꯫", "॥": "꯫",
+    "০": "꯰", "১": "꯱", "২": "꯲", "৩": "꯳", "৪": "꯴", "৫": "꯵", "৬": "꯶", "৭": "꯷", "৮": "꯸", "৯": "꯹",
+}
+LONG = {"আ": "ꯑꯥ", "ঋ": "ꯔꯤ", "এ": "ꯑꯦ", "ঐ": "ꯑꯩ", "ও": "ꯑꯣ", "ঔ": "ꯑꯧ", "ৃ": "꯭ꯔꯤ", "ঃ": ""}
+CLOSING = {"ক": "ꯛ", "ল": "ꯜ", "ম": "ꯝ", "প": "ꯞ", "ন": "ꯟ", "ণ": "ꯟ", "ত": "ꯠ", "ট": "ꯠ", "ঙ": "ꯡ"}
+#: Signs that two code points may stand for: a letter with a dot below, and the two-part vowels.
+PAIRS = {"য\u09bc": "\u09df", "ড\u09bc": "\u09dc", "ঢ\u09bc": "\u09dd", "\u09c7\u09be": "\u09cb", "\u09c7\u09d7": "\u09cc"}
+JOIN, STOP, CLOSE = "꯭", "\u09cd", "\ue000"  # joins two consonants; takes a consonant's vowel; marks a closing consonant on the way
+IN_WORD = "\u0980-\u09e3\u09f0-\u09ff"
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
@@ -25,8 +37,26 @@ def fill(template: str, values: dict[str, Column]) -> Column:
 
 
 def transliterate(c: Column) -> Column:
-    """Bengali script to Meetei Mayek, letter by letter; text in other scripts stays."""
-    return F.translate(c, BENGALI, MAYEK)
+    """Bengali script to Meetei Mayek; text in other scripts stays.
+
+    A cluster at the start of a word is joined; inside a word its first consonant takes its closing form, or is joined to r, l, y or w, or
+    stays plain; a bare consonant at the end of a word takes its closing form. Staged replacements, each looking at what is still Bengali.
+    """
+    any_, closing = "".join(LETTERS), "".join(CLOSING)
+    out = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), PAIRS.items(), c)
+    for pattern, to in (
+        (f"(?<![{IN_WORD}])([{any_}]){STOP}(?=[{any_}])", f"$1{JOIN}"),
+        (f"([{closing}]){STOP}(?=[{any_}])", f"$1{CLOSE}"),
+        (f"([{any_}]){STOP}(?=[রৰলযৱ])", f"$1{JOIN}"),
+        (f"([{any_}]){STOP}(?=[{any_}])", "$1"),
+        (f"([{closing}]){STOP}", f"$1{CLOSE}"),
+        (f"([{closing}])(?![{IN_WORD}{CLOSE}{JOIN}])", f"$1{CLOSE}"),
+    ):
+        out = F.regexp_replace(out, pattern, to)
+    whole = {k + CLOSE: v for k, v in CLOSING.items()} | LONG | {STOP: "", "\u09bc": "", CLOSE: ""}
+    out = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), whole.items(), out)
+    letters = LETTERS | SIGNS
+    return F.translate(out, "".join(letters), "".join(letters.values()))
 
 
 @query("notice_public_status", f"WITH {CASES} SELECT case_id, CASE WHEN screened_ms IS NULL THEN 'Received' WHEN status = 'APPROVED' THEN 'Approved' WHEN status = 'NEEDS_CITIZEN_CORRECTION' THEN 'Correction needed' ELSE 'Under review' END AS shown FROM cases")
@@ -57,9 +87,16 @@ def notice_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("case_id", "reference", F.col("sent_ms").isNotNull().alias("sent")).orderBy("sent", "reference")
 
 
-LINES, LINES_SQL = literal([(1, "কখগ"), (2, "মণিপুর"), (3, "plain"), (4, None)], "id long, line string")
+#: Lines with what they become, written out by the rules.
+LINES = (
+    ("কলম", "ꯀꯂꯝ"), ("প্রেম", "ꯄ꯭ꯔꯦꯝ"), ("বন্ধু", "ꯕꯟꯙꯨ"), ("শিক্ষক", "ꯁꯤꯛꯁꯛ"), ("বিশ্ব", "ꯕꯤꯁꯕ"), ("সূর্য", "ꯁꯨꯔ꯭ꯌ"), ("ধন্যবাদ", "ꯙꯟꯌꯕꯥꯗ"), ("দুঃখ", "ꯗꯨꯈ"), ("চাঁদ", "ꯆꯥꯪꯗ"), ("ঋণ", "ꯔꯤꯟ"), ("কৃষি", "ꯀ꯭ꯔꯤꯁꯤ"),
+    ("১০ টাকা।", "꯱꯰ ꯇꯥꯀꯥ꯫"), ("জ\u09af\u09bc", "ꯖꯌ"), ("ব\u09dc", "ꯕꯔ"), ("ক\u09c7\u09be", "ꯀꯣ"), ("স্ত্রী", "ꯁ꯭ꯠꯔꯤ"), ("মণ ও মন", "ꯃꯟ ꯑꯣ ꯃꯟ"), ("বাক্", "ꯕꯥꯛ"), ("plain {text} 12, মন.", "plain {text} 12, ꯃꯟ."), ("ꯃꯅꯤꯄꯨꯔ", "ꯃꯅꯤꯄꯨꯔ"), ("", ""),
+)
+LINE_ROWS, _ = literal([(i, x) for i, (x, _) in enumerate(LINES)] + [(len(LINES), None)], "id long, line string")
+_WANTED = ", ".join(f"({i}, '{y}', {str(any(chr(0x980) <= c <= chr(0x9ff) for c in x)).upper()})" for i, (x, y) in enumerate(LINES))
 
 
-@query("notice_translit", f"SELECT id, translate(line, '{BENGALI}', '{MAYEK}') AS mayek, regexp_matches(line, '[ঀ-৿]') AS bengali FROM {LINES_SQL}")
+@query("notice_translit", f"SELECT id, mayek, bengali FROM (VALUES {_WANTED}, ({len(LINES)}, NULL, NULL)) AS v(id, mayek, bengali)")
 def notice_translit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LINES(spark).select("id", transliterate(F.col("line")).alias("mayek"), F.col("line").rlike("[ঀ-৿]").alias("bengali"))
+    """Lines in Meetei Mayek, and whether they held Bengali script."""
+    return LINE_ROWS(spark).select("id", transliterate(F.col("line")).alias("mayek"), F.col("line").rlike("[ঀ-৿]").alias("bengali"))
