@@ -16,42 +16,52 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count and digests of its ids and decoded text."""
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law of equal rows."""
     return hilbert.report(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class and number of links at five words and 0.8."""
     return chosen_path.join(table(spark, sf_dir, "documents"))
 
 
 def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest others of every vector whose id is divisible by twenty."""
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, the base rule's verdict and the list's."""
     return decision_list.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share in the mix."""
     return fair_mix.report(table(spark, sf_dir, "documents"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licences."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 

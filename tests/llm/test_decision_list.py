@@ -44,7 +44,7 @@ def test_rules_find_low_quality_and_keep_the_rest(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in data] + [(5000, None, "y"), (5001, "", "y"), (5002, "few words", None)], "doc_id long, text string, kept string")
     labels = spark.createDataFrame([(i, g) for i, _, g in data if i % 3], "doc_id long, quality int")
     rules = q.train(docs, labels)
-    assert rules and all(t.name == "symbol_rate" or t.threshold for r in rules for t in r.tests)
+    assert len(rules) == 1 and rules[0].tests[0].name in ("symbol_rate", "word_length") and rules[0].misses == 0 and rules[0].hits > 20
     got = {r.doc_id: r for r in q.report(docs, labels).collect()}
     wrong = sum(got[i].kept != bool(g) for i, _, g in data if i % 3 == 0)
     assert wrong <= 3
@@ -53,6 +53,17 @@ def test_rules_find_low_quality_and_keep_the_rest(spark):
     assert q.report(docs.limit(0), labels).count() == 0
 
 
+def test_very_long_text_and_rules_as_expression(spark):
+    text = "again and again the same eight words come " * 20_000
+    row = q.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).first()
+    assert (row.n_words, row.n_repeat_words, row.base_failed) == (160_000, 160_000, True)
+    rules = [q.Rule((q.Test("a", True, 0.5), q.Test("b", False, 0.2)), 1, 0), q.Rule((q.Test("b", True, 0.9),), 1, 0)]
+    x = {"a": np.array([0.6, 0.6, 0.1, 0.5, 0.1]), "b": np.array([0.1, 0.3, 0.95, 0.2, 0.9])}
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x["a"], x["b"]))], "i int, a double, b double")
+    kept = [r.k for r in df.select("i", q.expression(rules, {"a": q.F.col("a"), "b": q.F.col("b")}).alias("k")).orderBy("i").collect()]
+    assert kept == [not any(r.rows(x)[i] for r in rules) for i in range(5)] == [False, True, False, True, True]
+
+
 def test_learning_ignores_noise():
     rng = np.random.default_rng(0)
     x = {"a": rng.random(2000), "b": rng.random(2000)}

@@ -41,3 +41,9 @@ def test_empty_and_writing(spark):
     many = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 9)) for i in range(90)] + [(8, "s2", "w " * 8)], "doc_id long, source string, text string")
     got = fair_mix.apply(many).collect()
     assert abs(sum(len(r.text.split()) for r in got) - sum(len(r.text.split()) for r in many.collect())) <= 8
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "one two", "a"), (3, "three", None)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in fair_mix.report(df).collect()}
+    assert [got[i]["size"] for i in (1, 2, 3)] == [300_000, 2, 1] and all(r.taken <= 3 * r["size"] for r in got.values())

@@ -52,3 +52,9 @@ def test_placement_equals_brute_force(spark, tmp_path):
     assert hilbert.report(df.limit(0)).count() == 0 and hilbert.report(df.limit(1)).first().shard == 0
     hilbert.write_shards(got, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(i, "ä" * 2_000_000 if i == 3 else "x", "en", "s") for i in range(16)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in hilbert.report(df).collect()}
+    assert got[3]["size"] == 4_000_001 and sorted(r.shard for r in got.values()) == sorted(list(range(8)) * 2)

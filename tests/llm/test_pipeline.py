@@ -1,13 +1,15 @@
 """The pipeline's stages against plain versions on a small corpus."""
 
 import random
+from collections import Counter
 
+import duckdb
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from casemill.llm import bpe, pii
+from casemill.llm import bpe, fair_mix, pii
 from tests.llm.test_chosen_path import brute
 
 NAMES = [n for n, _ in cp.STAGES]
@@ -62,6 +64,26 @@ def test_stages(spark, sf):
     assert bpe.CACHE > 0 and NAMES == ["quality", "near_duplicates", "personal_data", "source_mix", "encode"]
 
 
+def test_run_equals_brute_force(spark, sf):
+    """The whole of run() against plain steps: the counts of each text, all pairs of texts, masked spans, the mix's SQL, the library's ids."""
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and len(r.text.split()) >= 20 and "###" not in r.text]
+    of = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        of.setdefault(r.doc_id, r)
+    least = sorted({c for _, c, _ in brute(sorted((r.doc_id, r.text) for r in rows))})
+    kept = [(i, pii.mask(of[i].text, pii.spans_of(of[i].text)), of[i].source, of[i].lang) for i in least]
+    keyed = spark.createDataFrame(kept, "doc_id long, text string, source string, lang string").selectExpr("md5(concat_ws(':', CAST(doc_id AS STRING), CAST(xxhash64(text) AS STRING))) AS own", "doc_id", "text", "source")
+    documents = keyed.selectExpr("own AS doc_id", "source", "text").toPandas()  # noqa: F841  read by name
+    copies = dict(duckdb.connect().sql(f"SELECT doc_id, copies FROM ({fair_mix.ORACLE})").fetchall())
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in keyed.collect():
+        if copies[r.own]:
+            want[r.doc_id, of[r.doc_id].lang, r.source, tuple(library.encode(r.text, add_special_tokens=False).ids)] += copies[r.own]
+    got = Counter((r.doc_id, r.lang, r.source, tuple(r.token_ids)) for r in cp.run(spark, sf).collect())
+    assert got == want and all(copies[k] <= 3 for k in copies)
+
+
 def test_run_and_empty_table(spark, sf):
     assert cp.run(spark, sf).count() > 50
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
