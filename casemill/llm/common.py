@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,3 +51,37 @@ def word_count(text: Column) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def lookup(rows: DataFrame, one: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """rows, left-joined with ``one`` (a row a key, no nulls), however many rows a key has.
+
+    A key that over a thousandth of the rows have is one of at most a thousand: those are broadcast with what belongs to them, all others are
+    joined by a shuffle in which no key is large. Reads ``rows`` thrice and writes the hot keys, so rows should be a table.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(materialize(counts.where(F.col("__n") * 1000 > rows.count()).select(*keys), f"{what}-hot"))  # at most 1,000 rows
+    marked = rows.join(hot.withColumn("__hot", F.lit(True)), keys, "left")
+    few = one.join(hot, keys, "left_semi")
+    parts = [marked.where("__hot").drop("__hot").join(F.broadcast(few), keys, "left"), marked.where("__hot IS NULL").drop("__hot").join(one, keys, "left")]
+    return union_all(parts)
+
+
+def running(df: DataFrame, group: str, order: list[str], sums: dict[str, Column], what: str) -> DataFrame:
+    """df with running totals (inclusive) of long columns within each group, which may hold most of the rows and is never gathered in one task.
+
+    Rows are range-partitioned by group (not null) and order and written. Totals restart in each partition and group; what a group has in the
+    partitions before is added from one table of at most two rows a partition, as only its first and last group can lie in others too.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumns({f"__v_{s}": c.cast("long") for s, c in sums.items()})
+    ranged = materialize(df.repartitionByRange(n, group, *order).withColumn("__part", F.spark_partition_id()), what)
+    edges = ranged.groupBy("__part").agg(F.min(group).alias("__lo"), F.max(group).alias("__hi"))
+    at_edge = ranged.join(F.broadcast(edges), "__part").where((F.col(group) == F.col("__lo")) | (F.col(group) == F.col("__hi")))
+    totals = at_edge.groupBy("__part", group).agg(*[F.sum(f"__v_{s}").alias(f"__t_{s}") for s in sums])
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("__part", group, *[F.sum(f"__t_{s}").over(before).alias(f"__o_{s}") for s in sums])
+    within = Window.partitionBy("__part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({s: F.sum(f"__v_{s}").over(within) for s in sums}).join(F.broadcast(carried), ["__part", group], "left")
+    out = out.withColumns({s: F.col(s) + F.coalesce(F.col(f"__o_{s}"), F.lit(0)) for s in sums})
+    return out.drop("__part", *[f"__v_{s}" for s in sums], *[f"__o_{s}" for s in sums])

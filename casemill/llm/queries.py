@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import bpe, chosen_path, decision_list, fair_mix, hilbert, licenses, pii, prefix_forest, token_count, toxicity
+from casemill.llm import bpe, chosen_path, decision_list, exact_dedup, fair_mix, hilbert, licenses, periodic_runs, pii, prefix_forest, prefix_trie, token_count, toxicity
 from casemill.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -65,6 +65,21 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, and its text without their repetitions."""
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its exact copies."""
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_hilbert": op2_hilbert,
@@ -76,9 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_token_count": op9_token_count,
     "op10_pii": op10_pii,
+    "op11_runs": op11_runs,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op7_fair_mix": fair_mix.ORACLE,
     "op8_licenses": licenses.oracle(),
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
