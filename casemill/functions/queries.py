@@ -77,12 +77,17 @@ def str_ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return OCR(spark).select("id", text.repair_ocr(F.col("raw")).alias("repaired"))
 
 
-RELATIONS, RELATIONS_SQL = literal([(1, "Asha Rai S/o Ram Rai"), (2, "Bina, wife of K. Das"), (3, "Soni Devi"), (4, "Tomba s.o. Chaoba"), (5, "D/O only"), (6, None)], "id long, raw string")
+RELATIONS, RELATIONS_SQL = literal([(1, "Asha Rai S/o Ram Rai"), (2, "Bina, wife of K. Das"), (3, "Soni Devi"), (4, "Tomba s.o. Chaoba"), (5, "D/O only"), (6, None), (7, "Rai H\\o X"), (8, "Rai wd | 0 X"), (9, "Rai care of"), (10, "Rai son often")], "id long, raw string")
 
 
-@query("str_relation_strip", f"""SELECT id, trim(regexp_replace(regexp_replace(raw, '(?is)(^|[\\s,;:])((wd|[sdwch])\\s*[/|]\\s*[o0]|[sdwc]\\.[o0]\\.|(son|daughter|wife|widow|husband|care)\\s+of)([^a-z].*)?$', ' '), ' +$', '')) AS stripped FROM {RELATIONS_SQL}""")
+_WITH_RELATIVES = "concat(c_name, CASE c_custkey % 4 WHEN 0 THEN ' S/o ' WHEN 1 THEN ', wife of ' WHEN 2 THEN ' W/0 ' ELSE ' ' END, c_mktsegment)"
+
+
+@query("str_relation_strip", f"""SELECT id, trim(regexp_replace(regexp_replace(raw, '(?is)(^|[\\s,;:])((wd|[sdwch])\\s*[/|\\\\]\\s*[o0]|[sdwc]\\.[o0]\\.|(son|daughter|wife|widow|husband|care)\\s+of)([^a-z].*)?$', ' '), ' +$', '')) AS stripped FROM (SELECT * FROM {RELATIONS_SQL} UNION ALL SELECT c_custkey + 1000, {_WITH_RELATIVES} FROM customer)""")
 def str_relation_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RELATIONS(spark).select("id", text.strip_relation(F.col("raw")).alias("stripped"))
+    """Names without their relatives: the rows above, and every customer's name with a relative's."""
+    named = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000).alias("id"), F.expr(_WITH_RELATIVES).alias("raw"))
+    return RELATIONS(spark).unionByName(named).select("id", text.strip_relation(F.col("raw")).alias("stripped"))
 
 
 @query("str_humanise_code", "SELECT l_linenumber, upper(substr(c, 1, 1)) || substr(c, 2) AS title, count(*) AS n FROM (SELECT l_linenumber, lower(replace('MISSING_FIELD_' || l_returnflag, '_', ' ')) AS c FROM lineitem) GROUP BY 1, 2")
@@ -91,21 +96,57 @@ def str_humanise_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber", text.humanise(code).alias("title")).agg(F.count("*").alias("n"))
 
 
-ANSWERS, ANSWERS_SQL = literal([(1, "Female", "Rs. 60,000/-", "No", "Unmarried"), (2, "m", "nil", "yes - 40%", "Widow of X"), (3, "Other", "12,345.50 a year", "N/A", "married"), (4, "", "", "", ""), (5, None, None, None, None), (6, "Man", "zero", "perhaps", "Divorced"), (7, "T", "0.50", "-", "never"), (8, "x", "007", "- none", "single")], "id long, g string, i string, y string, m string")
+ANSWERS, ANSWERS_SQL = literal(
+    [
+        (1, "Female", "Rs. 60,000/-", "No", "Unmarried"), (2, "m", "nil", "yes - 40%", "Widow of X"), (3, "Other", "12,345.50 a year", "N/A", "married"), (4, "", "", "", ""), (5, None, None, None, None),
+        (6, "Man", "zero", "perhaps", "Divorced"), (7, "T", "0.50", "-", "never"), (8, "x", "007", "- none", "single"), (9, "महिला / Female", "house 12", "40 %", "never married"), (10, "abc / male", "₹ 1,20,000", "Blind", "unmarried widow"),
+        (11, "transgender", "INR 5000 yearly", "locomotor", "Spinster"), (12, "trans", "No income", "not known", "separated, once divorced"), (13, "womanly", "none", "Not applicable", "legally separated"), (14, "F.", "rs 9.5 rs", "disabled", "Bachelor"), (15, "fem", "1 2 3", "na", "remarried"),
+    ],
+    "id long, g string, i string, y string, m string",
+)
+_ANSWERED = f"""(SELECT * FROM {ANSWERS_SQL} UNION ALL SELECT c_custkey + 1000, CASE c_custkey % 4 WHEN 0 THEN concat('F ', c_name) WHEN 1 THEN concat(c_mktsegment, ' / male') WHEN 2 THEN 'Mahila' ELSE c_name END,
+concat(CASE c_custkey % 3 WHEN 0 THEN 'Rs. ' WHEN 1 THEN 'about ' ELSE '' END, CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR), '/-'), CASE c_custkey % 4 WHEN 0 THEN concat(CAST(c_custkey % 100 AS VARCHAR), '%') WHEN 1 THEN concat('no ', c_name) WHEN 2 THEN c_mktsegment ELSE '-' END,
+concat(c_mktsegment, CASE c_custkey % 5 WHEN 0 THEN ' widow' WHEN 1 THEN ' Separated' WHEN 2 THEN ' unmarried' WHEN 3 THEN ' married' ELSE '' END) FROM customer)"""
 
 
-@query("str_parse_answers", f"""SELECT id, CASE WHEN regexp_matches(lower(trim(g)), '^(f|female|woman|mahila)\\b') THEN 'female' WHEN regexp_matches(lower(trim(g)), '^(m|male|man|purush)\\b') THEN 'male' WHEN regexp_matches(lower(trim(g)), '^(t|trans|other)') THEN 'other' END AS gender,
-CASE WHEN regexp_matches(lower(trim(i)), '^(nil|none|no income|zero|0+\\b)') THEN 0.0 ELSE TRY_CAST(regexp_extract(replace(i, ',', ''), '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) END AS income,
-CASE WHEN regexp_matches(lower(trim(y)), '^(no|not|nil|none|n|na|n/a|-)\\b') THEN FALSE WHEN regexp_matches(lower(trim(y)), '^(yes|y|true)\\b') THEN TRUE END AS yes,
-CASE WHEN regexp_matches(lower(m), 'unmarried|single|never') THEN 'single' WHEN regexp_matches(lower(m), 'widow') THEN 'widowed' WHEN regexp_matches(lower(m), 'divorc|separat') THEN 'divorced' WHEN regexp_matches(lower(m), 'married') THEN 'married' END AS marital FROM {ANSWERS_SQL}""")
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows above, and answers made of every customer."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    return ANSWERS(spark).unionByName(
+        c.select(
+            (key + 1000).alias("id"),
+            F.when(key % 4 == 0, F.concat(F.lit("F "), "c_name")).when(key % 4 == 1, F.concat("c_mktsegment", F.lit(" / male"))).when(key % 4 == 2, "Mahila").otherwise(F.col("c_name")).alias("g"),
+            F.concat(F.when(key % 3 == 0, "Rs. ").when(key % 3 == 1, "about ").otherwise(""), F.floor(F.abs("c_acctbal")).cast("string"), F.lit("/-")).alias("i"),
+            F.when(key % 4 == 0, F.concat((key % 100).cast("string"), F.lit("%"))).when(key % 4 == 1, F.concat(F.lit("no "), "c_name")).when(key % 4 == 2, F.col("c_mktsegment")).otherwise("-").alias("y"),
+            F.concat("c_mktsegment", F.when(key % 5 == 0, " widow").when(key % 5 == 1, " Separated").when(key % 5 == 2, " unmarried").when(key % 5 == 3, " married").otherwise("")).alias("m"),
+        )
+    )
+
+
+def parsed_sql(kind: str, c: str) -> str:
+    """DuckDB SQL for the parsers of answers, written from their description."""
+    low = f"lower(trim({c}))"
+    starts = lambda *words: f"regexp_matches({low}, '^({'|'.join(words)})\\b')"
+    holds = lambda *words: " OR ".join(f"contains({low}, '{w}')" for w in words)
+    if kind == "gender":
+        return f"CASE WHEN {starts('f', 'female', 'mahila', 'woman')} OR {holds('/ female')} THEN 'female' WHEN {starts('m', 'male', 'purush', 'man')} OR {holds('/ male')} THEN 'male' WHEN {starts('t', 'transgender', 'other')} THEN 'other' END"
+    if kind == "income":
+        return f"CASE WHEN {starts('nil', 'none', 'no income', '0+')} THEN 0.0 ELSE TRY_CAST(nullif(regexp_extract(regexp_replace({low}, '(rs\\.?|inr|₹|/-|,|\\s)', '', 'g'), '^[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) END"
+    if kind == "yes_no":
+        return f"CASE WHEN {starts('no', 'nil', 'none', 'n/a', 'na', 'not applicable', '-')} THEN FALSE WHEN {starts('yes', 'y', 'true')} OR regexp_matches({low}, '[0-9]\\s*%') OR {holds('locomotor', 'blind', 'deaf', 'disab', 'pwd')} THEN TRUE END"
+    return f"CASE WHEN {holds('widow')} THEN 'widowed' WHEN {holds('unmarried', 'single', 'spinster', 'bachelor')} THEN 'unmarried' WHEN {holds('divorc')} THEN 'divorced' WHEN {holds('separat')} THEN 'separated' WHEN {holds('married')} THEN 'married' END"
+
+
+@query("str_parse_answers", f"""SELECT id, {parsed_sql('gender', 'g')} AS gender, {parsed_sql('income', 'i')} AS income, {parsed_sql('yes_no', 'y')} AS yes, {parsed_sql('marital', 'm')} AS marital FROM {_ANSWERED}""")
 def str_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered classifiers of written answers."""
-    return ANSWERS(spark).select("id", text.gender(F.col("g")).alias("gender"), text.income(F.col("i")).alias("income"), text.yes_no(F.col("y")).alias("yes"), text.marital(F.col("m")).alias("marital"))
+    return _answered(spark, sf_dir).select("id", text.gender(F.col("g")).alias("gender"), text.income(F.col("i")).alias("income"), text.yes_no(F.col("y")).alias("yes"), text.marital(F.col("m")).alias("marital"))
 
 
-@query("str_displaced", "SELECT page_id, coalesce(regexp_matches(html, '(?i)relief\\s*camp'), NULL) AS displaced, regexp_matches(url, '(?i)form|appl') AS formlike FROM pages")
+@query("str_displaced", "SELECT page_id, regexp_matches(html, '(?i)relief\\s*camp') AS displaced, regexp_matches(url, '(?i)form|appl') AS formlike FROM pages")
 def str_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike(r"(?i)relief\s*camp").alias("displaced"), F.col("url").rlike("(?i)form|appl").alias("formlike"))
+    return table(spark, sf_dir, "pages").select("page_id", text.displaced(F.col("html")).alias("displaced"), F.col("url").rlike("(?i)form|appl").alias("formlike"))
 
 
 @query("str_flag_key", "SELECT l_orderkey AS case_id, array_to_string(list_sort(list(DISTINCT l_returnflag || '.' || CAST(l_linenumber AS VARCHAR))), ',') AS flag_key FROM lineitem GROUP BY l_orderkey")
@@ -117,11 +158,22 @@ def str_flag_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATES, DATES_SQL = literal([(1, "1950-02-28"), (2, "31/02/2020"), (3, "5/6/1936"), (4, "1936"), (5, "DOB: 29.02.1948"), (6, "1700"), (7, "x"), (8, None), (9, "2001-09-02"), (10, "1-9-1941"), (11, "2001-13-01")], "id long, raw string")
 
 
-@query("date_parse_partial", f"""WITH t AS (SELECT id, trim(regexp_replace(raw, '^[^0-9]*', '')) AS t FROM {DATES_SQL})
-SELECT id, coalesce(strftime(CASE WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_strptime(t, '%Y-%m-%d') END, '%Y-%m-%d'), strftime(CASE WHEN regexp_matches(t, '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$') THEN try_strptime(regexp_replace(t, '[.-]', '/', 'g'), '%d/%m/%Y') END, '%Y-%m-%d'),
-CASE WHEN regexp_matches(t, '^[0-9]{{4}}$') AND TRY_CAST(t AS INT) BETWEEN 1880 AND 2100 THEN t END) AS parsed FROM t""")
+def date_sql(c: str) -> str:
+    """DuckDB SQL for parse_date()."""
+    t = f"trim(regexp_replace({c}, '^[^0-9]*', ''))"
+    iso = f"strftime(CASE WHEN regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_strptime({t}, '%Y-%m-%d') END, '%Y-%m-%d')"
+    day_first = f"strftime(CASE WHEN regexp_matches({t}, '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$') THEN try_strptime(regexp_replace({t}, '[.-]', '/', 'g'), '%d/%m/%Y') END, '%Y-%m-%d')"
+    return f"coalesce({iso}, {day_first}, CASE WHEN regexp_matches({t}, '^[0-9]{{4}}$') AND TRY_CAST({t} AS INT) BETWEEN 1880 AND 2100 THEN {t} END)"
+
+
+_WRITTEN_DATES = "CASE o_orderkey % 4 WHEN 0 THEN concat('DOB ', CAST(1 + o_orderkey % 31 AS STRING), '/', CAST(1 + o_orderkey % 13 AS STRING), '/', CAST(1870 + o_orderkey % 240 AS STRING)) WHEN 1 THEN CAST(1870 + o_orderkey % 240 AS STRING) WHEN 2 THEN concat(CAST(1870 + o_orderkey % 240 AS STRING), '-0', CAST(1 + o_orderkey % 9 AS STRING), '-31') ELSE o_orderpriority END"
+
+
+@query("date_parse_partial", f"SELECT id, {date_sql('raw')} AS parsed FROM (SELECT * FROM {DATES_SQL} UNION ALL SELECT o_orderkey + 1000, {_WRITTEN_DATES} FROM orders)")
 def date_parse_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DATES(spark).select("id", dates.parse_date(F.col("raw")).alias("parsed"))
+    """Dates as people write them: the rows above, and one for every order, many of them impossible."""
+    made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1000).alias("id"), F.expr(_WRITTEN_DATES).alias("raw"))
+    return DATES(spark).unionByName(made).select("id", dates.parse_date(F.col("raw")).alias("parsed"))
 
 
 @query("date_age", f"""WITH {CASES}, d AS (SELECT case_id, CASE WHEN length(dob) = 4 THEN dob || '-12-31' ELSE dob END AS d, length(dob) = 4 AS approximate FROM cases)

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 # The ordered respellings of the phonetic key.
 RESPELLINGS = (("ph", "f"), ("sh", "s"), ("kh", "k"), ("th", "t"), ("bh", "b"), ("dh", "d"), ("gh", "g"), ("wor$", "war"), ("[wv]", "b"), ("ee", "i"), ("oo", "u"))
 FULL_ID = r"(?<!\d)([2-9]\d{3})[ -]?(\d{4})[ -]?(\d{4})(?!\d)"
-#: A relative's name and all after it: S/o, D/o, W/o, Wd/o, C/o, H/o (a zero may stand for the o, a dot or bar for the stroke), or in words.
-RELATION = r"(^|[\s,;:])((wd|[cdhsw])\s*[/|\\]\s*[0o]|[cdsw]\.[0o]\.|(care|daughter|husband|son|widow|wife)\s+of)(?![a-z]).*$"
+# How a relative's name begins after a person's own, the words of answers, and what is dropped before an amount.
+RELATION = r"(?:^|[\s,;:])(?:(?:wd|[sdwch])\s*[/\\|]\s*[o0]|[sdwc]\.[o0]\.|son\s+of|daughter\s+of|wife\s+of|widow\s+of|husband\s+of|care\s+of)(?![a-z]).*$"
+GENDERS = (("female", r"^(f|female|mahila|woman)\b|/ female"), ("male", r"^(m|male|purush|man)\b|/ male"), ("other", r"^(t|transgender|other)\b"))
+NO_INCOME = r"^(nil|none|no income|0+)\b"
+BESIDE_AMOUNTS = r"(rs\.?|inr|₹|/-|,|\s)"
+NO = r"^(no|nil|none|n/a|na|not applicable|-)\b"
+YES = r"^(yes|y|true)\b|\d+\s*%|(locomotor|blind|deaf|disab|pwd)"
+MARITAL = (("widowed", "widow"), ("unmarried", "unmarried|single|spinster|bachelor"), ("divorced", "divorc"), ("separated", "separat"), ("married", "married"))
+RELIEF_CAMP = r"relief\s*camp"
 UUID_OR_HASH = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\b[0-9a-f]{64}\b"
 
 
@@ -66,6 +73,20 @@ def checksum(c: Column) -> Column:
     return F.when(c.rlike(r"^\d+$"), F.aggregate(placed, F.lit(0), lambda a, x: F.element_at(d, a * 10 + x + 1)))
 
 
+def verhoeff(digits: str) -> int:
+    """The checksum of a string of digits, for numbers known while a query is built."""
+    a = 0
+    for i, x in enumerate(reversed(digits)):
+        a = DIHEDRAL[a * 10 + PERMUTED[i % 8 * 10 + int(x)]]
+    return a
+
+
+def check_digit(c: Column) -> Column:
+    """The digit that makes a string of digits valid when it is put at its end; null for a text that isn't digits."""
+    inverse = F.array(*[F.lit(next(x for x in range(10) if DIHEDRAL[a * 10 + x] == 0)) for a in range(10)])
+    return F.element_at(inverse, checksum(F.concat(c, F.lit("0"))) + 1)
+
+
 def compact_upper(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, r"\s", ""))
 
@@ -100,26 +121,37 @@ def humanise(c: Column) -> Column:
     return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000))
 
 
-def gender(c: Column) -> Column:
+def first_named(c: Column, named: tuple[tuple[str, str], ...]) -> Column:
+    """The first name whose pattern is found in a text (lower case, trimmed), else null."""
     low = F.lower(F.trim(c))
-    return F.when(low.rlike(r"^(f|female|woman|mahila)\b"), "female").when(low.rlike(r"^(m|male|man|purush)\b"), "male").when(low.rlike(r"^(t|trans|other)"), "other")
+    return F.coalesce(*[F.when(low.rlike(pattern), name) for name, pattern in named])
+
+
+def gender(c: Column) -> Column:
+    """female, male or other, by an answer's first word, or by what stands after a stroke and a blank; female is tried first."""
+    return first_named(c, GENDERS)
 
 
 def income(c: Column) -> Column:
-    """The first number of a text, commas dropped; nil and the like are 0, and so is all that begins with a lone zero, "0.50" too (a rule kept as it is)."""
-    n = F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"(\d+(\.\d+)?)", 1)
-    return F.when(F.lower(F.trim(c)).rlike(r"^(nil|none|no income|zero|0+\b)"), 0.0).when(n != "", n.cast("double"))
+    """The number that a text begins with, after currency and commas; nil and the like are 0, and so is all that begins with a lone zero, "0.50" too."""
+    low = F.lower(F.trim(c))
+    n = F.regexp_extract(F.regexp_replace(low, BESIDE_AMOUNTS, ""), r"^\d+(\.\d+)?", 0)
+    return F.when(low.rlike(NO_INCOME), 0.0).when(n != "", n.try_cast("double"))
 
 
 def yes_no(c: Column) -> Column:
-    """Yes or no; a dash counts as no only before a letter or digit (a rule kept as it is)."""
+    """No by its first word (a dash counts only before a letter or digit); yes by its first word, a percentage or a named disability."""
     low = F.lower(F.trim(c))
-    return F.when(low.rlike(r"^(no|not|nil|none|n|na|n/a|-)\b"), False).when(low.rlike(r"^(yes|y|true)\b"), True)
+    return F.when(low.rlike(NO), False).when(low.rlike(YES), True)
 
 
 def marital(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.rlike("unmarried|single|never"), "single").when(low.rlike("widow"), "widowed").when(low.rlike("divorc|separat"), "divorced").when(low.rlike("married"), "married")
+    return first_named(c, MARITAL)
+
+
+def displaced(c: Column) -> Column:
+    """Whether an address is a relief camp; null for null."""
+    return F.lower(c).rlike(RELIEF_CAMP)
 
 
 def document_type(c: Column) -> Column:

@@ -85,9 +85,12 @@ def typed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr("k AS case_id", "received", *map(document, DOCUMENTS))
 
 
-def _sql() -> str:
-    """CTEs up to flags(k, step, a, b, code, severity, action, evidence) in DuckDB's SQL; a and b order the findings of a step."""
-    docs = " UNION ALL ".join(f"SELECT k, p, '{d}' AS doc, {i} AS doc_at, {s} AS state FROM base" for i, (d, s) in enumerate(STATES.items()))
+def findings_sql(given: str | None = None, checksum: str = CHECKSUM) -> str:
+    """CTEs up to flags(k, step, a, b, code, severity, action, evidence) in DuckDB's SQL; a and b order the findings of a step.
+
+    ``given``: CTEs base, docs and fields to begin with, in place of the typed cases of this module; checksum is SQL over w.k.
+    """
+    docs = " UNION ALL ".join(f"SELECT k, p, '{d}' AS doc, {i} AS doc_at, {s} AS state, 'no answer' AS error FROM base" for i, (d, s) in enumerate(STATES.items()))
     fields = " UNION ALL ".join(
         f"SELECT k, '{d}' AS doc, {i} AS doc_at, '{f}' AS field, {j} AS pos, {str(f in NEEDED[d]).upper()} AS needed, CAST({reading(d, f, True)[0]} AS VARCHAR) AS value, CAST({reading(d, f, True)[1]} AS DOUBLE) AS conf FROM base WHERE ({STATES[d]}) = 'ok'"
         for i, d in enumerate(DOCUMENTS) for j, f in enumerate(DOCUMENTS[d])
@@ -104,10 +107,10 @@ def _sql() -> str:
     steps = [
         "SELECT k, 1, doc_at, 0, 'MISSING_DOCUMENT', 'critical', 'citizen', concat(doc, '.document='), FALSE FROM docs WHERE state IS NULL AND doc <> 'epic'",
         "SELECT k, 1, 10, 0, 'OPTIONAL_DOCUMENT_NOT_PROVIDED', 'info', 'none', concat(doc, '.document='), FALSE FROM docs WHERE state IS NULL AND doc = 'epic'",
-        "SELECT k, 1, 20 + doc_at, 0, 'EXTRACTION_FAILED', 'warn', 'officer', concat(doc, '.document=no answer'), FALSE FROM docs WHERE state = 'failed'",
+        "SELECT k, 1, 20 + doc_at, 0, 'EXTRACTION_FAILED', 'warn', 'officer', concat(doc, '.document=', error), FALSE FROM docs WHERE state = 'failed'",
         "SELECT k, 2, doc_at, pos, 'MISSING_FIELD', 'critical', 'citizen', concat(doc, '.', field, '='), FALSE FROM fields WHERE needed AND value IS NULL AND conf >= 0.75",
         "SELECT k, 2, doc_at, 99, 'LOW_CONFIDENCE', 'warn', 'officer', string_agg(concat(doc, '.', field, '=', coalesce(value, '')), ';' ORDER BY pos), TRUE FROM fields WHERE conf < 0.75 AND (needed OR value IS NOT NULL) GROUP BY k, doc, doc_at",
-        f"SELECT k, 3, 0, 0, 'AADHAAR_CHECKSUM_INVALID', 'critical', 'officer', {ev('card', 'masked')}, {low(('card', 'masked'))} FROM w WHERE card_masked_c IS NOT NULL AND ({CHECKSUM}) = FALSE",
+        f"SELECT k, 3, 0, 0, 'AADHAAR_CHECKSUM_INVALID', 'critical', 'officer', {ev('card', 'masked')}, {low(('card', 'masked'))} FROM w WHERE card_masked_c IS NOT NULL AND ({checksum}) = FALSE",
         *[one(3, i + 1, "IFSC_INVALID", "critical", "citizen", ev(d, "ifsc"), low((d, "ifsc")), f"NOT regexp_full_match(upper({d}_ifsc), '[A-Z]{{4}}0[A-Z0-9]{{6}}')") for i, d in enumerate(("form", "passbook"))],
         one(3, 3, "EPIC_FORMAT_INVALID", "warn", "officer", ev("epic", "number"), low(("epic", "number")), "NOT regexp_full_match(epic_number, '[A-Z]{3}[0-9]{7}')"),
         one(3, 4, "AADHAAR_FORM_CARD_MISMATCH", "warn", "officer", f"concat({ev('form', 'last4')}, ';', {ev('card', 'last4')})", low(("form", "last4"), ("card", "last4")), "form_last4 <> card_last4"),
@@ -123,8 +126,8 @@ def _sql() -> str:
         f"SELECT d.k, 7, 0, d.first, 'DUPLICATE_SUSPECTED', 'critical', 'officer', concat('card.last4=', d.last4, ';', d.anchor_from, '.name=', d.anchor), FALSE FROM twice d",
     ]
     best = lambda test: "".join(f"WHEN {d}_dob IS NOT NULL AND {d}_dob_c >= 0.75 AND {test.format(d=d)} THEN '{d}' " for d in ("form", "card", "epic"))
-    return f"""base AS (SELECT o_orderkey AS k, {PERSON} AS p, o_totalprice AS price, o_orderdate AS received FROM orders),
-docs AS ({docs}), fields AS ({fields}),
+    given = given or f"base AS (SELECT o_orderkey AS k, {PERSON} AS p, o_totalprice AS price, o_orderdate AS received FROM orders), docs AS ({docs}), fields AS ({fields})"
+    return f"""{given},
 w AS (SELECT k, {wide} FROM fields GROUP BY k),
 same(i, j, verdict) AS (VALUES {same}),
 idx AS (SELECT k, {', '.join(f'{e} AS i_{d}' for d, e in at.items())} FROM base),
@@ -146,7 +149,7 @@ flags AS (SELECT k, step, a, b, code, severity, CASE WHEN action = 'citizen' AND
 state AS (SELECT d.k, coalesce(bool_or(code = 'DUPLICATE_SUSPECTED'), FALSE) AS doubled, coalesce(bool_or(action = 'citizen' AND severity = 'critical'), FALSE) AS correct, coalesce(bool_or(action = 'citizen'), FALSE) AS ask, coalesce(bool_or(action <> 'none'), FALSE) AS any_, count(code) AS n_flags FROM base d LEFT JOIN flags f ON d.k = f.k GROUP BY d.k)"""
 
 
-_SQL = _sql()
+_SQL = findings_sql()
 _EVIDENCE = "array_join(transform(f.evidence, e -> concat(e.document, '.', e.field, '=', coalesce(e.value, ''))), ';') AS evidence"
 
 
@@ -154,11 +157,18 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen(typed_cases(spark, sf_dir), RULES)
 
 
-@query("screen_flags", f"WITH {_SQL} SELECT k AS case_id, row_number() OVER (PARTITION BY k ORDER BY step, a, b) - 1 AS place, code, severity, action, evidence FROM flags")
+FLAG_ROWS = "SELECT k AS case_id, row_number() OVER (PARTITION BY k ORDER BY step, a, b) - 1 AS place, code, severity, action, evidence FROM flags"
+
+
+def flag_rows(screened_: DataFrame) -> DataFrame:
+    f = screened_.select("case_id", F.posexplode("flags").alias("place", "f"))
+    return f.select("case_id", F.col("place").cast("long").alias("place"), "f.code", "f.severity", "f.action", F.expr(_EVIDENCE))
+
+
+@query("screen_flags", f"WITH {_SQL} {FLAG_ROWS}")
 def screen_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every case with its place in the list and its evidence."""
-    f = screened(spark, sf_dir).select("case_id", F.posexplode("flags").alias("place", "f"))
-    return f.select("case_id", F.col("place").cast("long").alias("place"), "f.code", "f.severity", "f.action", F.expr(_EVIDENCE))
+    return flag_rows(screened(spark, sf_dir))
 
 
 @query("screen_status", f"""WITH {_SQL} SELECT s.k AS case_id, CASE WHEN correct AND NOT doubled THEN 'NEEDS_CITIZEN_CORRECTION' WHEN any_ THEN 'OFFICER_ATTENTION' ELSE 'READY' END AS status, n_flags, b.age,
