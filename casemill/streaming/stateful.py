@@ -2,62 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casemill.operators.audit import seal
 from casemill.sources.storage import scratch
+from casemill.streaming.folding import Folding, Step
 
 
-def _rate(limit: int, seconds: float) -> Callable:
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n, total, refused = state.get if state.exists else (-1.0, 0, 0, 0)
-        for at in pd.concat(list(frames)).sort_values(["at", "id"])["at"]:
-            if n == 0 or at - start >= seconds:
-                start, n = float(at), 0
-            n, total, refused = n + 1, total + 1, refused + (n + 1 > limit)
-        state.update((start, n, total, refused))
-        yield pd.DataFrame({"key": [key[0]], "total": [total], "refused": [refused]})
+def _rate(limit: int, seconds: float) -> Step:
+    def step(state: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+        start, n, total, refused = state
+        if n == 0 or row["at"] - start >= seconds:
+            start, n = row["at"], 0
+        return (start, n + 1, total + 1, refused + (n + 1 > limit)), [(row["id"], max(0, limit - n - 1), n + 1 > limit)]
 
     return step
 
 
-def rate_limit(stream: DataFrame, limit: int, seconds: float) -> DataFrame:
+def rate_limit(stream: DataFrame, limit: int, seconds: float, forget: bool = False) -> Folding:
     """key, total, refused of a stream with key, id and at (seconds): a window opens at a key's first event, and events over the limit are refused.
 
-    A row for each key that a batch touched. Within a batch events are taken by time, then id.
+    Within a batch events are taken by time, then id. Emitted is, for each event, what remains of its window and whether it is refused. With
+    ``forget``, keys whose window is over are dropped, and their totals begin anew.
     """
     rows = stream.select("key", "id", F.col("at").cast("double").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(_rate(limit, seconds), "key long, total long, refused long", "start double, n long, total long, refused long", "update", GroupStateTimeout.NoTimeout)
-
-
-def _lock(failures: int, seconds: float) -> Callable:
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, until, locks, turned = state.get if state.exists else (0, -1.0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        for at, ok in zip(rows["at"], rows["ok"]):
-            if at < until:
-                turned += 1
-            elif ok:
-                run = 0
-            else:
-                run += 1
-                if run >= failures:
-                    run, until, locks = 0, float(at) + seconds, locks + 1
-        state.update((run, until, locks, turned))
-        yield pd.DataFrame({"key": [key[0]], "locks": [locks], "turned_away": [turned]})
+    state = "start double, n long, total long, refused long"
+    return Folding(rows, "key", ("at", "id"), (-1.0, 0, 0, 0), _rate(limit, seconds), state, "id long, remaining long, refused boolean", f"{{latest}} - state.start >= {seconds}" if forget else None)
+
+
+def _lock(failures: int, seconds: float) -> Step:
+    def step(state: tuple, row: dict) -> tuple[tuple, list[tuple]]:
+        run, until, locks, turned = state
+        if row["at"] < until:
+            return (run, until, locks, turned + 1), [(row["id"], "locked")]
+        if row["ok"]:
+            return (0, until, locks, turned), [(row["id"], "ok")]
+        if run + 1 >= failures:
+            return (0, row["at"] + seconds, locks + 1, turned), [(row["id"], "locks")]
+        return (run + 1, until, locks, turned), [(row["id"], "wrong")]
 
     return step
 
 
-def lockout(stream: DataFrame, failures: int, seconds: float) -> DataFrame:
-    """key, locks, turned_away of a stream with key, id, at (seconds) and ok: failures in a row lock a key for a while; a success starts anew."""
+def lockout(stream: DataFrame, failures: int, seconds: float) -> Folding:
+    """key, locks, turned_away of a stream with key, id, at (seconds) and ok: failures in a row lock a key for a while; a success starts anew.
+
+    Emitted is what becomes of each event: ok, wrong, locks (the failure that locks) or locked (turned away, even if it was right).
+    """
     rows = stream.select("key", "id", F.col("at").cast("double").alias("at"), "ok")
-    return rows.groupBy("key").applyInPandasWithState(_lock(failures, seconds), "key long, locks long, turned_away long", "run long, until double, locks long, turned long", "update", GroupStateTimeout.NoTimeout)
+    return Folding(rows, "key", ("at", "id"), (0, -1.0, 0, 0), _lock(failures, seconds), "run long, until double, locks long, turned_away long", "id long, verdict string")
 
 
 def seal_stream(stream: DataFrame, chain: str) -> DataFrame:
