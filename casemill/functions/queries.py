@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import dates, text
 from casemill.plans.registry import query
-from casemill.sources.views import CASES, NOW_MS, TODAY, cases, literal, table
+from casemill.sources.views import CASES, NOW_MS, TODAY, cases, literal, literal_and, table
 
 NAMES, NAMES_SQL = literal([(1, "Ghanapriya"), (2, "Bheemsen"), (3, "Okraam"), (4, "Jogeshwor"), (5, "Phoolo Rai"), (6, "Vaiphei"), (7, "Dhanno"), (8, ""), (9, None), (10, "Wahengbam")], "id long, name string")
 
@@ -50,17 +50,20 @@ def str_contains_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("id", text.contains_id(F.col("txt")).alias("leak"))
 
 
-@query("str_mask", f"SELECT id, CASE WHEN regexp_matches(regexp_replace(txt, '[^0-9]', '', 'g'), '^[0-9]{{12}}$') THEN concat('XXXX XXXX ', substr(regexp_replace(txt, '[^0-9]', '', 'g'), 9, 4)) END AS masked FROM {IDS_SQL}")
+DIGIT_ROWS, DIGITS_SQL = literal_and([(1, "2345 6789 0123"), (2, "12"), (3, None), (4, "no 2345-6789-0123 .")], "id long, txt string", "part", id="p_partkey + 1000", txt="concat(CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN '' ELSE p_type END, ' ', CAST(p_partkey % 9000 + 1000 AS STRING), '-', CAST(p_partkey * 7 % 9000 + 1000 AS STRING), ' ', CAST(p_partkey * 11 % 9000 + 1000 AS STRING))")
+
+
+@query("str_mask", f"SELECT id, CASE WHEN regexp_matches(regexp_replace(txt, '[^0-9]', '', 'g'), '^[0-9]{{12}}$') THEN concat('XXXX XXXX ', substr(regexp_replace(txt, '[^0-9]', '', 'g'), 9, 4)) END AS masked FROM (SELECT * FROM {IDS_SQL} UNION ALL SELECT * FROM {DIGITS_SQL})")
 def str_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return IDS(spark).select("id", text.mask_id(F.col("txt")).alias("masked"))
+    return IDS(spark).unionByName(DIGIT_ROWS(spark, sf_dir)).select("id", text.mask_id(F.col("txt")).alias("masked"))
 
 
-CODES, CODES_SQL = literal([(1, "sbin0 001234"), (2, "SBIN1001234"), (3, "hdfc0abc12z"), (4, "abc 1234567"), (5, "ABC123456"), (6, ""), (7, None)], "id long, code string")
+CODES, CODES_SQL = literal_and([(1, "sbin0 001234"), (2, "SBIN1001234"), (3, "hdfc0abc12z"), (4, "abc 1234567"), (5, "ABC123456"), (6, ""), (7, None)], "id long, code string", "part", id="p_partkey + 1000", code="CASE p_partkey % 4 WHEN 0 THEN concat('abcd0 ', lpad(CAST(p_partkey AS STRING), 6, '0')) WHEN 1 THEN concat('ABC ', lpad(CAST(p_partkey AS STRING), 7, '0')) WHEN 2 THEN concat('abc', CAST(p_partkey AS STRING)) ELSE p_brand END")
 
 
 @query("str_ifsc_epic", f"SELECT id, regexp_matches(upper(regexp_replace(code, '\\s', '', 'g')), '^[A-Z]{{4}}0[A-Z0-9]{{6}}$') AS ifsc, regexp_matches(upper(regexp_replace(code, '\\s', '', 'g')), '^[A-Z]{{3}}[0-9]{{7}}$') AS epic FROM {CODES_SQL}")
 def str_ifsc_epic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CODES(spark).select("id", text.is_ifsc(F.col("code")).alias("ifsc"), text.is_epic(F.col("code")).alias("epic"))
+    return CODES(spark, sf_dir).select("id", text.is_ifsc(F.col("code")).alias("ifsc"), text.is_epic(F.col("code")).alias("epic"))
 
 
 @query("str_loose", "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(concat(' ', c_name, '. ', c_mktsegment, ',  x')), '[.,:;''\"`]', '', 'g'), '\\s+', ' ', 'g')) AS loose FROM customer")
@@ -69,12 +72,12 @@ def str_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", text.loose(F.concat(F.lit(" "), "c_name", F.lit(". "), "c_mktsegment", F.lit(",  x"))).alias("loose"))
 
 
-OCR, OCR_SQL = literal([(1, "0kram"), (2, "La1remsiami"), (3, "10 Downing"), (4, "R0sh1"), (5, None), (6, "007")], "id long, raw string")
+OCR, OCR_SQL = literal_and([(1, "0kram"), (2, "La1remsiami"), (3, "10 Downing"), (4, "R0sh1"), (5, None), (6, "007")], "id long, raw string", "part", id="p_partkey + 1000", raw="replace(replace(concat(p_name, ' ', CAST(p_partkey AS STRING), p_type), 'o', '0'), 'l', '1')")
 
 
 @query("str_ocr_repair", f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '([A-Za-z])0', '\\1o', 'g'), '0([A-Za-z])', 'o\\1', 'g'), '([A-Za-z])1', '\\1l', 'g'), '1([A-Za-z])', 'l\\1', 'g') AS repaired FROM {OCR_SQL}""")
 def str_ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return OCR(spark).select("id", text.repair_ocr(F.col("raw")).alias("repaired"))
+    return OCR(spark, sf_dir).select("id", text.repair_ocr(F.col("raw")).alias("repaired"))
 
 
 RELATIONS, RELATIONS_SQL = literal([(1, "Asha Rai S/o Ram Rai"), (2, "Bina, wife of K. Das"), (3, "Soni Devi"), (4, "Tomba s.o. Chaoba"), (5, "D/O only"), (6, None), (7, "Rai H\\o X"), (8, "Rai wd | 0 X"), (9, "Rai care of"), (10, "Rai son often")], "id long, raw string")
@@ -222,16 +225,16 @@ def math_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).select("case_id", F.least(F.lit(100), score).cast("int").alias("score"), reasons.alias("reasons"))
 
 
-BOXES, BOXES_SQL = literal([(1, -3.2, 5.0, 60.7, 80.4), (2, 10.0, 10.0, 10.2, 30.0), (3, 90.0, 0.5, 140.0, 99.5), (4, None, 1.0, 2.0, 3.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+BOXES, BOXES_SQL = literal_and([(1, -3.2, 5.0, 60.7, 80.4), (2, 10.0, 10.0, 10.2, 30.0), (3, 90.0, 0.5, 140.0, 99.5), (4, None, 1.0, 2.0, 3.0)], "id long, x1 double, y1 double, x2 double, y2 double", "part", id="p_partkey + 1000", x1="p_size * 2.5 - 10", y1="p_partkey % 97 + 0.5", x2="CASE WHEN p_partkey % 29 <> 0 THEN p_size * 3 - 20.25 END", y2="p_retailprice / 20")
 
 
-@query("math_clamp_bbox", f"""WITH c AS (SELECT id, floor(greatest(0, least(100, x1)) + 0.5)::INT AS a, floor(greatest(0, least(100, y1)) + 0.5)::INT AS b, floor(greatest(0, least(100, x2)) + 0.5)::INT AS c, floor(greatest(0, least(100, y2)) + 0.5)::INT AS d FROM {BOXES_SQL} WHERE x1 IS NOT NULL)
+@query("math_clamp_bbox", f"""WITH c AS (SELECT id, floor(greatest(0, least(100, x1)) + 0.5)::INT AS a, floor(greatest(0, least(100, y1)) + 0.5)::INT AS b, floor(greatest(0, least(100, x2)) + 0.5)::INT AS c, floor(greatest(0, least(100, y2)) + 0.5)::INT AS d FROM {BOXES_SQL} WHERE x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL)
 SELECT b.id, CASE WHEN c.c > c.a AND c.d > c.b THEN concat_ws(',', c.a, c.b, c.c, c.d) END AS box FROM {BOXES_SQL} b LEFT JOIN c ON b.id = c.id""")
 def math_clamp_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box rounded half up and clamped to a 100 by 100 image; null without area or with a missing side."""
     sides = [F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(c))) + 0.5).cast("int") for c in ("x1", "y1", "x2", "y2")]
     whole = F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull()
-    return BOXES(spark).select("id", F.when(whole & (sides[2] > sides[0]) & (sides[3] > sides[1]), F.concat_ws(",", *[s.cast("string") for s in sides])).alias("box"))
+    return BOXES(spark, sf_dir).select("id", F.when(whole & (sides[2] > sides[0]) & (sides[3] > sides[1]), F.concat_ws(",", *[s.cast("string") for s in sides])).alias("box"))
 
 
 @query("arr_filter_exists", "WITH k AS (SELECT l_orderkey AS case_id, list_sort(list(l_linenumber)) AS xs FROM lineitem GROUP BY l_orderkey) SELECT case_id, len(list_filter(xs, lambda x: x > 3))::INT AS late, len(list_filter(xs, lambda x: x = 1)) > 0 AS has_first, len(list_filter(xs, lambda x: x < 6)) = len(xs) AS all_early FROM k")

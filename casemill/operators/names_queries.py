@@ -106,31 +106,6 @@ def name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.withColumn("p", parse_name("name")).select("name", "p.*")
 
 
-@query("name_match")
-def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a case's form name with its other documents' names."""
-    p = PEOPLE(spark)
-    pairs = p.where("doc = 'form'").select("case_id", F.col("name").alias("a")).join(p.where("doc <> 'form'").select("case_id", "doc", F.col("name").alias("b")), "case_id")
-    return pairs.withColumn("m", match_names("a", "b", none_known())).select("case_id", "doc", "a", "b", "m.*")
-
-
-@query("name_identity_matrix")
-def name_identity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of a packet's names once, the earlier document (DOCUMENTS) first."""
-    p = PEOPLE(spark).withColumn("at", F.array_position(F.array(*map(F.lit, DOCUMENTS)), F.col("doc")))
-    a, b = (p.select("case_id", F.col("doc").alias(x), F.col("name").alias(f"name_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
-    return a.join(b, "case_id").where("at_a < at_b").withColumn("m", match_names("name_a", "name_b", none_known())).select("case_id", "a", "b", "m.score", "m.verdict")
-
-
-@query("name_explain")
-def name_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to tell an officer about each pair of a case's form name with another document's name, surnames of the packet's relatives known."""
-    p = PEOPLE(spark)
-    known = p.groupBy("case_id").agg(F.collect_list("name").alias("names")).select("case_id", surnames_of("names").alias("known"))  # a packet has at most six documents
-    pairs = p.where("doc = 'form'").select("case_id", F.col("name").alias("a")).join(p.where("doc <> 'form'").select("case_id", "doc", F.col("name").alias("b")), "case_id").join(known, "case_id")
-    return pairs.withColumn("m", explain_match("a", "b", "known")).select("case_id", "doc", "m.score", "m.verdict", "m.headline", "m.points")
-
-
 def search(people: DataFrame, asked: str, key: str = "p_partkey", name: str = "p_name", matching: Callable[..., Column] = match_names) -> DataFrame:
     """Rows whose name holds the words asked for (score 95) or matches as a name, best first, then by key; cheap hits never reach the matcher."""
     p = people.select(key, name)
@@ -146,9 +121,20 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "part"), "red widget")
 
 
-@query("name_gazetteer", "SELECT * FROM (VALUES ('kh', 'Khuraijam,Khumanthem', 2), ('th', 'Thokchom,Thangjam', 2)) AS v(abbreviation, surnames, n)")
-def name_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abbreviations that stand for more than one surname, in the list's order."""
-    rows = [(i, s, a) for i, (s, _, a) in enumerate(names.SURNAMES) if a]
-    by = spark.createDataFrame(rows, "ord int, surname string, abbreviation string").groupBy("abbreviation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "surname"))), lambda x: x["surname"]), ",").alias("surnames"), F.count("*").cast("int").alias("n"))
+_LISTED = " UNION ALL ".join(f"SELECT {i} AS ord, '{s}' AS surname, '{a}' AS abbreviation" for i, (s, _, a) in enumerate(names.SURNAMES) if a)
+
+
+def ambiguous(gazetteer: DataFrame) -> DataFrame:
+    """Abbreviations (of ord, surname, abbreviation) that stand for more than one surname, with those in the list's order."""
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("ord", "surname"))), lambda x: x["surname"])
+    by = gazetteer.where("abbreviation <> ''").groupBy("abbreviation").agg(F.array_join(inside, ",").alias("surnames"), F.count("*").cast("int").alias("n"))
     return by.where("n > 1").select("abbreviation", "surnames", "n")
+
+
+@query("name_gazetteer", f"""SELECT abbreviation, string_agg(surname, ',' ORDER BY ord) AS surnames, CAST(count(*) AS INT) AS n FROM ({_LISTED} UNION ALL SELECT 1000 + n_nationkey, n_name, lower(substr(n_name, 1, 2)) FROM nation UNION ALL SELECT 2000 + p_partkey, p_name, lower(substr(p_name, 1, 3)) FROM part)
+WHERE abbreviation <> '' GROUP BY abbreviation HAVING count(*) > 1""")
+def name_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ambiguous abbreviations of the list together with the names of nations and parts."""
+    listed = spark.createDataFrame([(i, s, a) for i, (s, _, a) in enumerate(names.SURNAMES) if a], "ord long, surname string, abbreviation string")
+    made = [table(spark, sf_dir, t).select((F.col(k) + start).cast("long").alias("ord"), F.col(n).alias("surname"), F.lower(F.substring(n, 1, most)).alias("abbreviation")) for t, k, n, start, most in (("nation", "n_nationkey", "n_name", 1000, 2), ("part", "p_partkey", "p_name", 2000, 3))]
+    return ambiguous(listed.unionByName(made[0]).unionByName(made[1]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
-from casemill.sources.views import CASES, FLAGS, cases, flags, literal, with_district
+from casemill.sources.views import CASES, FLAGS, cases, flags, literal_and, pick, with_district
 
 TEMPLATE = "Dear {name}, about {reference}: {items}. Please reply by {due}."
 # What a notice says for a finding.
@@ -92,11 +92,11 @@ LINES = (
     ("কলম", "ꯀꯂꯝ"), ("প্রেম", "ꯄ꯭ꯔꯦꯝ"), ("বন্ধু", "ꯕꯟꯙꯨ"), ("শিক্ষক", "ꯁꯤꯛꯁꯛ"), ("বিশ্ব", "ꯕꯤꯁꯕ"), ("সূর্য", "ꯁꯨꯔ꯭ꯌ"), ("ধন্যবাদ", "ꯙꯟꯌꯕꯥꯗ"), ("দুঃখ", "ꯗꯨꯈ"), ("চাঁদ", "ꯆꯥꯪꯗ"), ("ঋণ", "ꯔꯤꯟ"), ("কৃষি", "ꯀ꯭ꯔꯤꯁꯤ"),
     ("১০ টাকা।", "꯱꯰ ꯇꯥꯀꯥ꯫"), ("জ\u09af\u09bc", "ꯖꯌ"), ("ব\u09dc", "ꯕꯔ"), ("ক\u09c7\u09be", "ꯀꯣ"), ("স্ত্রী", "ꯁ꯭ꯠꯔꯤ"), ("মণ ও মন", "ꯃꯟ ꯑꯣ ꯃꯟ"), ("বাক্", "ꯕꯥꯛ"), ("plain {text} 12, মন.", "plain {text} 12, ꯃꯟ."), ("ꯃꯅꯤꯄꯨꯔ", "ꯃꯅꯤꯄꯨꯔ"), ("", ""),
 )
-LINE_ROWS, _ = literal([(i, x) for i, (x, _) in enumerate(LINES)] + [(len(LINES), None)], "id long, line string")
+LINE_ROWS, _ = literal_and([(i, x) for i, (x, _) in enumerate(LINES)] + [(len(LINES), None)], "id long, line string", "part", id="p_partkey + 1000", line=pick(tuple(x for x, _ in LINES), f"p_partkey % {len(LINES)}", False))
 _WANTED = ", ".join(f"({i}, '{y}', {str(any(chr(0x980) <= c <= chr(0x9ff) for c in x)).upper()})" for i, (x, y) in enumerate(LINES))
 
 
-@query("notice_translit", f"SELECT id, mayek, bengali FROM (VALUES {_WANTED}, ({len(LINES)}, NULL, NULL)) AS v(id, mayek, bengali)")
+@query("notice_translit", f"WITH w(id, mayek, bengali) AS (VALUES {_WANTED}, ({len(LINES)}, NULL, NULL)) SELECT * FROM w UNION ALL SELECT p_partkey + 1000, mayek, bengali FROM part JOIN w ON w.id = p_partkey % {len(LINES)}")
 def notice_translit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in Meetei Mayek, and whether they held Bengali script."""
-    return LINE_ROWS(spark).select("id", transliterate(F.col("line")).alias("mayek"), F.col("line").rlike("[ঀ-৿]").alias("bengali"))
+    """Lines in Meetei Mayek, and whether they held Bengali script: those above, and one for every part."""
+    return LINE_ROWS(spark, sf_dir).select("id", transliterate(F.col("line")).alias("mayek"), F.col("line").rlike("[ঀ-৿]").alias("bengali"))

@@ -9,7 +9,7 @@ from casemill.functions import text
 from casemill.functions.dates import parse_date
 from casemill.operators.filters import in_force
 from casemill.plans.registry import query
-from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, audit_log, cases, extractions, flags, literal, table, with_district
+from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, audit_log, cases, extractions, flags, literal_and, table, with_district
 
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END"
 #: Documents in the order in which a case shows them; others come after.
@@ -91,12 +91,18 @@ MATCHES = (
     ("income", "Rs. 60,000", "60000", True), ("income", "nil", "0", True), ("income", "abc", "xyz", True), ("identity", "xxxx xxxx 12", "XXXXXXXX12", True), ("name", "Asha  Rai.", "asha rai", True), ("name", "Asha Rai", "Asha Ray", False),
     ("name", None, None, True), ("name", "x", None, False), ("mobile", None, "9", False),
 )
-MATCH_ROWS, MATCHES_SQL = literal([(i, *m) for i, m in enumerate(MATCHES)], "id long, field string, expected string, got string, wanted boolean")
+_SHIFTED = "CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END"
+MATCH_ROWS, MATCHES_SQL = literal_and(
+    [(i, *m) for i, m in enumerate(MATCHES)], "id long, field string, expected string, got string, wanted boolean", "orders",
+    id="o_orderkey + 1000", field="CASE o_orderkey % 3 WHEN 0 THEN 'dob' WHEN 1 THEN 'account' ELSE 'income' END", wanted="o_orderkey % 9 <> 0 AND (o_orderkey % 4 <> 0 OR o_orderkey % 3 <> 0)",
+    expected=f"CASE o_orderkey % 3 WHEN 0 THEN concat('19', CAST(10 + o_orderkey % 80 AS STRING), '-0', CAST(1 + o_orderkey % 9 AS STRING), '-1', CAST(o_orderkey % 5 AS STRING)) WHEN 1 THEN CAST(o_orderkey + 100000 AS STRING) ELSE concat('Rs. ', CAST(o_orderkey + 100000 AS STRING)) END",
+    got=f"CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 4 <> 0 THEN concat('1', CAST(o_orderkey % 5 + {_SHIFTED} AS STRING), '.', CAST(1 + o_orderkey % 9 AS STRING), '.19', CAST(10 + o_orderkey % 80 AS STRING)) END WHEN 1 THEN concat(CAST(o_orderkey + 100000 + {_SHIFTED} AS STRING), ' -') ELSE concat(CAST(o_orderkey + 100000 + {_SHIFTED} AS STRING), ' a year') END",
+)
 
 
 @query("eval_field_matches", f"SELECT id, field, wanted AS matches FROM {MATCHES_SQL}")
 def eval_field_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MATCH_ROWS(spark).select("id", "field", field_matches(F.col("field"), F.col("expected"), F.col("got")).alias("matches"))
+    return MATCH_ROWS(spark, sf_dir).select("id", "field", field_matches(F.col("field"), F.col("expected"), F.col("got")).alias("matches"))
 
 
 @query("date_birth_for_age", "SELECT o_orderkey AS case_id, strftime(CAST(o_orderdate AS DATE) - CAST(60 + o_orderkey % 30 AS INTEGER) * INTERVAL 1 YEAR - CAST(o_orderkey % 365 AS INTEGER) * INTERVAL 1 DAY, '%Y-%m-%d') AS dob, strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') AS shown FROM orders")

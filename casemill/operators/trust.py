@@ -10,7 +10,7 @@ from casemill.functions.names import SURNAMES
 from casemill.functions.text import phonetic_key
 from casemill.operators.audit import KEY
 from casemill.plans.registry import query
-from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, audit_log, cases, extractions, flags, literal, table
+from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, audit_log, cases, extractions, flags, literal_and, table
 
 # Roles and what they may do; only one may approve.
 PERMISSIONS = {"viewer": ("read",), "clerk": ("read", "note", "correct"), "officer": ("read", "note", "correct", "override", "forward"), "approver": ("read", "note", "correct", "override", "forward", "approve")}
@@ -59,7 +59,7 @@ def rule_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return may.groupBy("role").agg(F.count("*").alias("asked"), F.count("may").alias("allowed"))
 
 
-GIVEN, GIVEN_SQL = literal([(1, "SPELLING", None), (2, "SPELLING", " seen "), (3, None, "ok"), (4, None, " long enough "), (5, "NOPE", "a free text"), (6, None, None)], "id long, code string, txt string")
+GIVEN, GIVEN_SQL = literal_and([(1, "SPELLING", None), (2, "SPELLING", " seen "), (3, None, "ok"), (4, None, " long enough "), (5, "NOPE", "a free text"), (6, None, None)], "id long, code string, txt string", "orders", id="o_orderkey + 1000", code="CASE o_orderkey % 5 WHEN 0 THEN 'DOC_SEEN' WHEN 1 THEN 'SPELLING' WHEN 2 THEN 'CLERICAL' WHEN 3 THEN o_orderstatus END", txt="CASE WHEN o_orderkey % 3 = 0 THEN substr(o_orderpriority, 1, CAST(o_orderkey % 7 AS INT)) END")
 
 
 @query("rule_reason", f"""SELECT id, CASE WHEN p IS NOT NULL AND t <> '' THEN concat(p, ': ', t) WHEN p IS NOT NULL THEN p WHEN length(t) >= 3 THEN t END AS reason FROM (SELECT id, CASE code WHEN 'DOC_SEEN' THEN 'Original document seen' WHEN 'SPELLING' THEN 'Known spelling variant' WHEN 'CLERICAL' THEN 'Clerical error' END AS p, coalesce(trim(txt), '') AS t FROM {GIVEN_SQL})""")
@@ -68,7 +68,7 @@ def rule_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     preset = F.try_element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), F.col("code"))
     text = F.coalesce(F.trim("txt"), F.lit(""))
     reason = F.when(preset.isNotNull() & (text != ""), F.concat_ws(": ", preset, text)).when(preset.isNotNull(), preset).when(F.length(text) >= 3, text)
-    return GIVEN(spark).select("id", reason.alias("reason"))
+    return GIVEN(spark, sf_dir).select("id", reason.alias("reason"))
 
 
 @query("rule_redaction_mode", "SELECT p_partkey AS image, CASE WHEN p_size % 4 <> 0 THEN 'none' WHEN p_size % 8 = 0 THEN 'box' ELSE 'blur' END AS mode, CASE WHEN p_size % 8 = 0 THEN concat_ws(',', greatest(0, p_size - 10), greatest(0, 30 - 10), least(100, p_size + 50 + 10), least(100, 60 + 10)) END AS box FROM part")
@@ -133,7 +133,7 @@ def synthetic(spark: SparkSession, count: int, seed: int) -> DataFrame:
     return rows.select("case_id", status.alias("status"), (1 + F.floor(x * 60)).alias("days_ago"))
 
 
-WRITTEN, WRITTEN_SQL = literal([(1, "Khuraijam"), (2, "Kuraijam"), (3, "Tokchom"), (4, "Wangkhem"), (5, "Vangkem"), (6, "Smith"), (7, None)], "id long, surname string")
+WRITTEN, WRITTEN_SQL = literal_and([(1, "Khuraijam"), (2, "Kuraijam"), (3, "Tokchom"), (4, "Wangkhem"), (5, "Vangkem"), (6, "Smith"), (7, None)], "id long, surname string", "customer", id="c_custkey + 1000", surname="CASE c_custkey % 6 WHEN 0 THEN 'Khuraijaam' WHEN 1 THEN 'Tokchom' WHEN 2 THEN 'wangkhem' WHEN 3 THEN 'Laisram' WHEN 4 THEN c_mktsegment ELSE c_name END")
 
 
 @query("join_gazetteer", f"""WITH g AS (SELECT *, {_phonetic_sql('name')} AS k FROM (VALUES {', '.join(f"({i}, '{s}', '{c}')" for i, (s, c, _) in enumerate(SURNAMES))}) v(ord, name, community)), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS r FROM g) WHERE r = 1)
@@ -142,7 +142,7 @@ def join_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surnames as written against the list by phonetic key; of entries with one key the first counts."""
     listed = spark.createDataFrame([(i, s, c) for i, (s, c, _) in enumerate(SURNAMES)], "ord int, canonical string, community string").withColumn("k", phonetic_key(F.col("canonical")))
     first = listed.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("ord"))).where("r = 1").select("k", "canonical", "community")
-    return WRITTEN(spark).withColumn("k", phonetic_key(F.col("surname"))).join(F.broadcast(first), "k", "left").select("id", "surname", "canonical", "community")
+    return WRITTEN(spark, sf_dir).withColumn("k", phonetic_key(F.col("surname"))).join(F.broadcast(first), "k", "left").select("id", "surname", "canonical", "community")
 
 
 @query("join_audit_documents", f"""WITH {AUDIT} SELECT a.audit_id, d.source FROM audit_log a LEFT JOIN documents d ON d.doc_id = a.case_id WHERE a.action = 'error'""")
@@ -163,14 +163,14 @@ def str_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "/", -1).alias("name"), F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1).alias("extension"), F.regexp_replace("url", r"[\x00-\x1f]", "").alias("cleaned"))
 
 
-MODELS, MODELS_SQL = literal([(1, "vision-large-4-1"), (2, "vision-small-3"), (3, "other"), (4, None)], "id long, model string")
+MODELS, MODELS_SQL = literal_and([(1, "vision-large-4-1"), (2, "vision-small-3"), (3, "other"), (4, None)], "id long, model string", "part", id="p_partkey + 1000", model="CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE concat('vision-', CASE WHEN p_partkey % 2 = 0 THEN 'large' ELSE 'small' END, '-', CAST(p_size AS STRING), CASE WHEN p_partkey % 5 = 0 THEN '-2' ELSE '' END) END")
 
 
 @query("str_model_label", f"""SELECT id, CASE WHEN regexp_extract(model, '^vision-([a-z]+)-([0-9]+)', 1) <> '' THEN concat(upper(substr(regexp_extract(model, '^vision-([a-z]+)', 1), 1, 1)), substr(regexp_extract(model, '^vision-([a-z]+)', 1), 2), ' ', replace(regexp_extract(model, '-([0-9-]+)$', 1), '-', '.')) ELSE model END AS label FROM {MODELS_SQL}""")
 def str_model_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.regexp_extract("model", "^vision-([a-z]+)-([0-9]+)", 1)
     label = F.concat(F.initcap(family), F.lit(" "), F.replace(F.regexp_extract("model", "-([0-9-]+)$", 1), F.lit("-"), F.lit(".")))
-    return MODELS(spark).select("id", F.when(family != "", label).otherwise(F.col("model")).alias("label"))
+    return MODELS(spark, sf_dir).select("id", F.when(family != "", label).otherwise(F.col("model")).alias("label"))
 
 
 @query("arr_brief", f"WITH {FLAGS}, k AS (SELECT case_id, list_sort(list(DISTINCT code)) AS xs FROM flags GROUP BY case_id) SELECT case_id, concat(array_to_string(list_slice(xs, 1, 3), ', '), CASE WHEN len(xs) > 3 THEN concat(' +', CAST(len(xs) - 3 AS VARCHAR), ' more') ELSE '' END) AS brief FROM k")

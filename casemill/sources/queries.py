@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
 from casemill.sources.storage import check_pairs, upsert
-from casemill.sources.views import literal, table
+from casemill.sources.views import literal_and, table
 
-PAIRS, PAIRS_SQL = literal([(2, "Asha Rai", "Asha Ray", "Nepali", "Yes"), (3, "", "X", "Naga", "no"), (4, "A", "B", None, "perhaps"), (5, "A", "B", "Meitei", "ambiguous"), (6, "A", "B", "Meitei", None)], "row long, name_a string, name_b string, community string, expected_same string")
+PAIRS, PAIRS_SQL = literal_and([(2, "Asha Rai", "Asha Ray", "Nepali", "Yes"), (3, "", "X", "Naga", "no"), (4, "A", "B", None, "perhaps"), (5, "A", "B", "Meitei", "ambiguous"), (6, "A", "B", "Meitei", None)], "row long, name_a string, name_b string, community string, expected_same string", "customer", row="c_custkey + 1000", name_a="CASE WHEN c_custkey % 13 <> 0 THEN c_name END", name_b="CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE lower(c_name) END", community="c_mktsegment", expected_same="CASE c_custkey % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN 'different' WHEN 2 THEN 'AMBIGUOUS' WHEN 3 THEN 'false ' WHEN 4 THEN c_mktsegment END")
 
 
 @query("scan_pairs_checked", f"""SELECT row, CASE WHEN lower(trim(expected_same)) IN ('yes', 'same', 'true') THEN TRUE WHEN lower(trim(expected_same)) IN ('no', 'different', 'false') THEN FALSE END AS same_person,
 CASE WHEN coalesce(trim(name_a), '') = '' OR coalesce(trim(name_b), '') = '' THEN 'a name is missing' WHEN expected_same IS NULL OR lower(trim(expected_same)) NOT IN ('yes', 'same', 'true', 'no', 'different', 'false', 'ambiguous') THEN concat('unknown label: ', coalesce(expected_same, '')) END AS error FROM {PAIRS_SQL}""")
 def scan_pairs_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_pairs(PAIRS(spark)).select("row", "same_person", "error")
+    return check_pairs(PAIRS(spark, sf_dir)).select("row", "same_person", "error")
 
 
 @query("scan_catalog_columns", "SELECT * FROM (VALUES ('nation', 'n_name', 'string'), ('nation', 'n_nationkey', 'int'), ('nation', 'n_regionkey', 'int'), ('region', 'r_name', 'string'), ('region', 'r_regionkey', 'int')) v(tbl, col, kind)")

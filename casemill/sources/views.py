@@ -151,3 +151,16 @@ def literal(rows: list[tuple], columns: str) -> tuple:
     body = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
     select = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names, kinds))
     return (lambda spark: spark.createDataFrame(rows, columns)), f"(SELECT {select} FROM (VALUES {body}) AS v({', '.join(names)}))"
+
+
+def literal_and(rows: list[tuple], columns: str, of: str, **made: str) -> tuple:
+    """Rows given in code and rows made of a table's, as ((spark, sf_dir) -> DataFrame, SQL for DuckDB's FROM). made: column to an expression that both read."""
+    given, sql = literal(rows, columns)
+    kinds = {c.split()[0]: c.split()[1] for c in columns.split(",")}
+    duck = {n: k.replace("long", "BIGINT").replace("string", "VARCHAR") for n, k in kinds.items()}
+    both = lambda k: {"long": "BIGINT"}.get(k, k)
+
+    def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return given(spark).unionByName(table(spark, sf_dir, of).selectExpr(*[f"CAST({made[n]} AS {both(k)}) AS {n}" for n, k in kinds.items()]))
+
+    return all_rows, f"(SELECT * FROM {sql} UNION ALL SELECT {', '.join(f'CAST({made[n]} AS {duck[n]})' for n in kinds)} FROM {of})"
