@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
@@ -175,6 +175,41 @@ def sort_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.orderBy("sort_key", "n_name")
 
 
+def natural_key(c: Column, digits: int = 20) -> Column:
+    """A key of a name that sorts as people do: without regard to case, each run of digits by its number, wherever it stands."""
+    low = F.lower(c)
+    runs = F.regexp_extract_all(low, F.lit(r"(\d+)"), F.lit(1))
+    padded = F.transform(runs, lambda r: F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), digits, "0"))
+    between = F.split(low, r"\d+")
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("text"), padded.alias("run")), lambda p: F.array(p["text"], F.coalesce(p["run"], F.lit(""))))), "")
+
+
+def by_name(df: DataFrame, name: str, *then: str) -> DataFrame:
+    """df in natural order of a name; names alike but for case by code point, then by other columns."""
+    return df.orderBy(natural_key(F.col(name)), name, *then)
+
+
+_NAMED = "CASE p_partkey % 4 WHEN 0 THEN concat('packet-', CAST(p_partkey % 130 AS STRING)) WHEN 1 THEN concat(upper(p_brand), ' ', p_name) WHEN 2 THEN concat(p_name, CAST(p_size AS STRING), '-', CAST(p_partkey % 11 AS STRING), '.jpg') ELSE concat('0', CAST(p_size AS STRING), p_brand) END"
+_RUNS = "list_transform(regexp_extract_all(lower(name), '([0-9]+)'), lambda r: lpad(regexp_replace(r, '^0+([0-9])', '\\1'), 20, '0'))"
+
+
+@query("sort_natural_names", f"""WITH n AS (SELECT p_partkey, {_NAMED} AS name FROM part), k AS (SELECT *, array_to_string(list_transform(list_zip(regexp_split_to_array(lower(name), '[0-9]+'), {_RUNS}), lambda p: concat(p[1], coalesce(p[2], ''))), '') AS k FROM n)
+SELECT p_partkey, name, row_number() OVER (ORDER BY k, name, p_partkey) AS place FROM k""")
+def sort_natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of packets and files with their places in natural order: packet-2 before packet-10, case aside; by a range sort."""
+    n = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NAMED).alias("name"))
+    return prefix_sums(n, [natural_key(F.col("name")), F.col("name"), F.col("p_partkey")], {"place": F.lit(1)}, "natural").select("p_partkey", "name", "place")
+
+
+@query("sort_locale", "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY lower(word), word, c_custkey) AS place FROM (SELECT c_custkey, c_mktsegment, CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment ELSE upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS word FROM customer)")
+def sort_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in the order of a reader, not of code points: "a" before "B"; words that differ in case alone by code point."""
+    segment = F.col("c_mktsegment")
+    word = F.when(F.col("c_custkey") % 3 == 0, F.lower(segment)).when(F.col("c_custkey") % 3 == 1, segment).otherwise(F.concat(F.upper(F.substring(segment, 1, 1)), F.lower(F.substring(segment, 2, 1000))))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", word.alias("word"))
+    return prefix_sums(rows, [F.lower("word"), F.col("word"), F.col("c_custkey")], {"place": F.lit(1)}, "locale").select("c_custkey", "c_mktsegment", "place")
+
+
 @query("topk_latest_head", f"WITH {AUDIT} SELECT audit_id, action FROM audit_log ORDER BY audit_id DESC LIMIT 1")
 def topk_latest_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_log(spark, sf_dir).select("audit_id", "action").orderBy(F.col("audit_id").desc()).limit(1)

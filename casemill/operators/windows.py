@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
+from casemill.sources.shared import materialize, prefix_sums, temporaries
 from casemill.sources.views import AUDIT, CASES, audit_log, cases
 
 
@@ -23,6 +24,50 @@ def win_sequence_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).select("case_id", F.concat(year, F.lit("-"), F.lpad(n.cast("string"), 4, "0")).alias("number"))
 
 
+def allotted(asking: DataFrame, taken: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """asking with number: in each group the free numbers from one more than the count of those taken, in order, taken ones skipped.
+
+    asking has the group and a unique order; taken has the group and number. The i-th free number is found without trying numbers one by one:
+    a taken number beyond the start moves up all that would fall on it or after it, and how many move is a running count in one global order
+    of wishes and taken numbers together, so that a group with most of the rows isn't one task's.
+    """
+    with temporaries(asking.sparkSession, "allotted"):
+        groups = taken.groupBy(group).agg(F.count("*").alias("__start"))
+        beyond = taken.distinct().join(groups, group).where(F.col("number") > F.col("__start"))
+        # the j-th taken number beyond the start, t, stands after t - start - j free ones: wishes of a higher rank move up by one more
+        one = F.lit(1)
+        in_order = materialize(prefix_sums(beyond.select(group, "number", "__start"), [F.col(group), F.col("number")], {"__all": one}, "taken-order"), "taken-ranked")
+        first_taken = in_order.groupBy(group).agg((F.min("__all") - 1).alias("__before"))
+        free_before = F.col("number") - F.col("__start") - (F.col("__all") - F.col("__before"))
+        walls = in_order.join(first_taken, group).select(group, free_before.alias("__rank"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__at"))
+        wishes = materialize(prefix_sums(asking, [F.col(group), *[F.col(c) for c in order]], {"__all": one}, "wish-order"), "wishes")
+        first_wish = wishes.groupBy(group).agg((F.min("__all") - 1).alias("__before"))
+        ranked = materialize(wishes.join(first_wish, group).withColumn("__rank", F.col("__all") - F.col("__before")).drop("__before"), "wishes-ranked")
+        both = walls.unionByName(ranked.select(group, "__rank", F.lit(0).alias("__kind"), F.col("__all").alias("__at")))
+        moved = prefix_sums(both, [F.col(group), F.col("__rank"), F.col("__kind"), F.coalesce("__at", F.lit(0))], {"__walls": F.col("__kind").cast("long")}, "merged-order")
+        moved = materialize(moved, "merged")
+        none_yet = moved.groupBy(group).agg(F.min(F.col("__walls") - F.col("__kind").cast("long")).alias("__none"))
+        up = moved.where("__kind = 0").join(none_yet, group).select(F.col("__at").alias("__all"), (F.col("__walls") - F.col("__none")).alias("__up"))
+        out = ranked.join(up, "__all").join(groups, group, "left")
+        numbered = out.withColumn("number", F.coalesce("__start", F.lit(0)) + F.col("__rank") + F.col("__up"))
+        return materialize(numbered.select(*asking.columns, "number"), "allotted")
+
+
+_TAKEN = "SELECT substr(reference, 4, 4) AS year, ((case_id * 13) % 4000) + 1 AS number FROM cases WHERE case_id % 4 = 0"
+
+
+@query("win_numbers_allotted", f"""WITH RECURSIVE {CASES}, taken AS (SELECT DISTINCT year, number FROM ({_TAKEN})), s AS (SELECT year, count(*) AS start FROM ({_TAKEN}) GROUP BY year),
+a AS (SELECT case_id, substr(reference, 4, 4) AS year, row_number() OVER (PARTITION BY substr(reference, 4, 4) ORDER BY case_id) AS r FROM cases WHERE case_id % 4 = 1),
+most AS (SELECT a.year, coalesce(any_value(s.start), 0) AS start, count(*) + (SELECT count(*) FROM taken t WHERE t.year = a.year) AS n FROM a LEFT JOIN s ON s.year = a.year GROUP BY a.year),
+free AS (SELECT m.year, n.n, row_number() OVER (PARTITION BY m.year ORDER BY n.n) AS r FROM (SELECT year, unnest(range(start + 1, start + n + 1)) AS n FROM most) n JOIN most m ON m.year = n.year WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.year = n.year AND t.number = n.n))
+SELECT a.case_id, a.year, f.n AS number FROM a JOIN free f ON f.year = a.year AND f.r = a.r""")
+def win_numbers_allotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a year for new cases, from one more than the count of those given, numbers in use skipped."""
+    c = cases(spark, sf_dir).withColumn("year", F.substring("reference", 4, 4))
+    taken = c.where("case_id % 4 = 0").select("year", ((F.col("case_id") * 13) % 4000 + 1).alias("number"))
+    return allotted(c.where("case_id % 4 = 1").select("case_id", "year"), taken, "year", ["case_id"])
+
+
 @query("win_monotonic_ts", f"WITH {CASES} SELECT case_id, received_ms + row_number() OVER (PARTITION BY batch_id, received_ms ORDER BY case_id) - 1 AS at_ms FROM cases")
 def win_monotonic_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a batch with one time get strictly rising times."""

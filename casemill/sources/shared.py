@@ -25,6 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCOPES = threading.local()
+#: Paths that results of this driver still read; see cleanup().
+_KEPT: list[str] = []
+
+
+def kept(path: str) -> str:
+    """Note a path that a result reads, for cleanup()."""
+    _KEPT.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove all tables, stream outputs and offsets that results of this driver were read from, once those results are no longer needed; how many."""
+    gone = 0
+    while _KEPT:
+        _remove(spark, _KEPT.pop())
+        gone += 1
+    return gone
 
 
 @contextmanager
@@ -42,6 +59,8 @@ def temporaries(spark: SparkSession, *keep: str) -> Iterator[None]:
                 _remove(spark, path)
             elif open_:
                 open_[-1].append((what, path))
+            else:
+                kept(path)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -49,6 +68,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     if open_ := _SCOPES.__dict__.get("open"):
         open_[-1].append((what, path))
+    else:
+        kept(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._casemill_path = path

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.text import redact_id
-from casemill.sources.shared import shared_dir
+from casemill.sources.shared import kept, shared_dir
 
 TRUTH = "packet_id string, expected_status string, documents map<string, struct<type: string, fields: map<string, string>>>, name_checks array<struct<a: string, b: string, expected: string>>, expected_flags array<struct<code: string, severity: string, action: string>>"
 ANSWERS = {"yes": True, "same": True, "true": True, "no": False, "different": False, "false": False}
@@ -22,8 +22,8 @@ HIDDEN = r"(^|/)(\.|__MACOSX/)"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, which cleanup() removes."""
+    return kept(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
 
 
 def packets(spark: SparkSession, path: str) -> DataFrame:
