@@ -7,42 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators.names_queries import match_names, none_known
 from casemill.plans.registry import query
-from casemill.sources.views import literal, table
-
-_SCORED = "scored AS (SELECT d.lang AS grp, l.quality AS field, CASE WHEN d.n_chars % 3 = 0 THEN 'high' WHEN d.n_chars % 3 = 1 THEN 'medium' ELSE 'low' END AS stated, CAST(d.doc_id % 7 <> 0 AS INT) AS correct, CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE l.toxic = 1 END AS same, CASE d.doc_id % 5 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'DIFFERENT' ELSE 'SAME' END AS verdict FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, labels = table(spark, sf_dir, "documents").drop("text"), table(spark, sf_dir, "labels")
-    stated = F.when(F.col("n_chars") % 3 == 0, "high").when(F.col("n_chars") % 3 == 1, "medium").otherwise("low")
-    verdict = F.when(F.col("doc_id") % 5 == 0, "AMBIGUOUS").when(F.col("doc_id") % 5 == 1, "DIFFERENT").otherwise("SAME")
-    same = F.when(F.col("doc_id") % 11 != 0, F.col("toxic") == 1)
-    return d.join(labels, "doc_id").select(F.col("lang").alias("grp"), F.col("quality").alias("field"), stated.alias("stated"), (F.col("doc_id") % 7 != 0).cast("int").alias("correct"), same.alias("same"), verdict.alias("verdict"))
-
-
-@query("eval_field_accuracy", f"WITH {_SCORED} SELECT grp, field, count(*) AS n, sum(correct)::BIGINT AS correct, round(avg(correct), 6) AS accuracy FROM scored GROUP BY GROUPING SETS ((grp), (grp, field))")
-def eval_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    sets = [[F.col("grp")], [F.col("grp"), F.col("field")]]
-    return s.groupingSets(sets, "grp", "field").agg(F.count("*").alias("n"), F.sum("correct").alias("correct"), F.round(F.avg("correct"), 6).alias("accuracy")).select("grp", "field", "n", "correct", "accuracy")
-
-
-@query("eval_calibration", f"WITH {_SCORED} SELECT stated, CASE stated WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence, count(*) AS n, round(avg(correct), 6) AS accuracy FROM scored GROUP BY stated")
-def eval_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often values of each stated confidence are right."""
-    confidence = F.when(F.col("stated") == "high", 0.95).when(F.col("stated") == "medium", 0.8).otherwise(0.4)
-    return scored(spark, sf_dir).groupBy("stated", confidence.alias("confidence")).agg(F.count("*").alias("n"), F.round(F.avg("correct"), 6).alias("accuracy"))
-
-
-@query("eval_fairness", f"""WITH {_SCORED}, o AS (SELECT grp, CASE WHEN verdict = 'AMBIGUOUS' THEN 'referred' WHEN same IS NULL THEN 'unscored' WHEN same = (verdict = 'SAME') THEN 'correct' WHEN verdict = 'SAME' THEN 'false_match' ELSE 'false_non_match' END AS outcome FROM scored)
-SELECT coalesce(grp, 'All') AS grp, count(*) AS pairs, count(*) FILTER (WHERE outcome IN ('correct', 'false_match', 'false_non_match')) AS decided, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'false_match') AS false_matches,
-count(*) FILTER (WHERE outcome = 'false_non_match') AS false_non_matches, count(*) FILTER (WHERE outcome = 'referred') AS referred, count(*) FILTER (WHERE outcome = 'unscored') AS unscored,
-round(CASE WHEN count(*) FILTER (WHERE outcome IN ('correct', 'false_match', 'false_non_match')) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE outcome = 'correct') / count(*) FILTER (WHERE outcome IN ('correct', 'false_match', 'false_non_match'))::DOUBLE END, 6) AS accuracy,
-round(count(*) FILTER (WHERE outcome = 'referred') / count(*)::DOUBLE, 6) AS referral_rate FROM o GROUP BY ROLLUP(grp)""")
-def eval_fairness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of name verdicts by community and overall; an accuracy without decisions is 1."""
-    return fairness(scored(spark, sf_dir), "grp")
-
+from casemill.sources.views import literal
 
 def fairness(pairs: DataFrame, group: str) -> DataFrame:
     """pairs has the group, verdict, and same (null where the label is unclear)."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.plans.registry import query
-from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, audit_log, cases, extractions, flags, literal, table
+from casemill.sources.views import AUDIT, CASES, EXTRACTIONS, FLAGS, audit_log, cases, extractions, flags, table
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -112,15 +112,3 @@ def join_evidence_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image to show for a finding: one that has the field if any does, else the first."""
     w = Window.partitionBy("document_id").orderBy((F.col("output_tokens") <= 50).cast("int"), "seq")
     return extractions(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r = 1").select("document_id", "seq")
-
-
-TRUTH, TRUTH_SQL = literal([("p1", "form.jpg", "name", "Asha Rai"), ("p1", "form.jpg", "dob", "1950-01-02"), ("p1", "card.jpg", "name", "Asha Rai"), ("p2", "form.jpg", "name", "Bina Das"), ("p2", "form.jpg", "ifsc", None)], "packet string, file string, field string, value string")
-READ, READ_SQL = literal([("p1", "form.jpg", "name", "asha  rai."), ("p1", "form.jpg", "dob", "1950-01-03"), ("p2", "form.jpg", "name", "Bina Dass"), ("p2", "form.jpg", "ifsc", None)], "packet string, file string, field string, got string")
-
-
-@query("join_truth_extracted", f"""SELECT t.packet, t.file, t.field, r.packet IS NOT NULL AS extracted, coalesce(trim(regexp_replace(lower(t.value), '[ .]+', ' ', 'g')) = trim(regexp_replace(lower(r.got), '[ .]+', ' ', 'g')), t.value IS NULL AND r.got IS NULL) AS correct
-FROM {TRUTH_SQL} t LEFT JOIN {READ_SQL} r ON t.packet = r.packet AND t.file = r.file AND t.field = r.field""")
-def join_truth_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loose = lambda c: F.trim(F.regexp_replace(F.lower(c), "[ .]+", " "))
-    both = TRUTH(spark).join(READ(spark).withColumn("here", F.lit(True)), ["packet", "file", "field"], "left")
-    return both.select("packet", "file", "field", F.coalesce("here", F.lit(False)).alias("extracted"), loose("value").eqNullSafe(loose("got")).alias("correct"))
