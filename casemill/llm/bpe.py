@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import with_columns
+from casemill.llm.common import parts_of, with_columns
 from casemill.llm.unicode_tables import Normalizer, Tables, probe
 
 #: Entries of each generation of a worker's caches.
@@ -237,8 +237,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(path, tables)
-        for b in batches:
-            rows = [t.encode(x).astype(np.int32) for x in b.column(text).to_pylist()]
+        for b in parts_of(batches):
+            rows = [t.encode(x.as_py()).astype(np.int32) for x in b.column(text)]
             values = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32), np.concatenate([np.zeros(0, np.int32), *rows]))
             kept = [n for n in b.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), values], names=[*kept, ids])

@@ -61,7 +61,7 @@ def _hash_word(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-_WORD_HASHES = Recent(_hash_word)
+_WORD_HASHES = Recent(_hash_word, 80_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

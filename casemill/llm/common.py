@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,13 @@ def with_columns(df: DataFrame, without: tuple[str, ...] | list[str] | set[str],
     return T.StructType([*kept, *[T.StructField(n, T._parse_datatype_string(k)) for n, k in added.items()]])
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut into some rows each: what Python makes of a batch of long texts is then held for a few of them, not for ten thousand."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it."""
     taken = {c.lower() for c in df.columns}

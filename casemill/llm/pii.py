@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import with_columns
+from casemill.llm.common import parts_of, with_columns
 
 #: Base kinds in the order of the digest; then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -270,7 +270,7 @@ def find(df: DataFrame, text: str = "text", spans: str = "pii", masked: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for b in batches:
+        for b in parts_of(batches):
             texts = b.column(text).to_pylist()
             found = [spans_of(x) for x in texts]
             columns = [*(b.column(f.name) for f in kept), pa.array([[dict(zip(("kind", "start", "end", "score"), s)) for s in x] for x in found], kind)]
