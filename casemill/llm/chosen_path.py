@@ -143,6 +143,12 @@ def leaves(sets: DataFrame, runs: int) -> DataFrame:
     return union_all(out)
 
 
+def whole(sets: DataFrame) -> DataFrame:
+    """node, set_id, size: all sets as one node, whose blocks then hold every pair."""
+    size = sets.count()
+    return sets.select(F.lit(0).cast("long").alias("node"), "set_id", F.lit(size).cast("long").alias("size")).where("size > 1")
+
+
 def _cells(members: DataFrame) -> DataFrame:
     """members with cell and side: a node's pairs of blocks are cells; side 2 stands for both sides of a block against itself."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
@@ -196,8 +202,8 @@ def _list_rows(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [values[a:z] for a, z in zip(ends, ends[1:])]
 
 
-def _by_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the cells whose minima agree often enough with another row's."""
+def _by_minima(batches: Iterator[pa.RecordBatch], agree: int = AGREE) -> Iterator[pa.RecordBatch]:
+    """Rows of the cells whose minima agree often enough with another row's; for no agreement asked, those whose sizes allow a link."""
     for t in _groups(batches):
         n, sizes = t.num_rows, t.column("n").to_numpy()
         node, nodes = t.column("node")[0].as_py(), _list_rows(t.column("nodes"), np.int64)
@@ -212,7 +218,7 @@ def _by_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = np.zeros(n, bool)
         for at in range(0, len(i), 100_000):
             a, b = i[at : at + 100_000], j[at : at + 100_000]
-            near = (least[a] == least[b]).sum(axis=1) >= AGREE
+            near = (least[a] == least[b]).sum(axis=1) >= agree
             close[a[near]] = close[b[near]] = True
         if close.any():
             yield from t.select(["cell", "node", "side", "nodes", "set_id"]).filter(pa.array(close)).combine_chunks().to_batches()
@@ -297,7 +303,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _classified(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFrame, DataFrame]:
+def _classified(docs: DataFrame, key: str, text: str, recall: float, exact: bool) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and set_id, pick and least (the first row of the set and of its class: none, key, text_hash), n_links."""
     with temporaries(docs.sparkSession, "sketches", "classes"):
         docs = docs.select(F.col(key).alias(key), F.col(text).alias(text))
@@ -305,17 +311,17 @@ def _classified(docs: DataFrame, key: str, text: str, recall: float) -> tuple[Da
         # null keys last: the least of (is null, key, text)
         pick = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash")))
         sets = materialize(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(pick.alias("pick"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("minima").alias("minima")), "sets")
-        members = materialize(leaves(sets, runs_for(recall)), "leaves")
+        members = materialize(whole(sets) if exact else leaves(sets, runs_for(recall)), "leaves")
         nodes = members.groupBy("set_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # at most runs * 2 ** DEPTH
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         near = _cells(members.join(nodes, "set_id").join(sets.select("set_id", "n", "minima"), "set_id")).select("cell", "node", "side", "nodes", "set_id", "n", "minima")
-        near = near.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_by_minima, "cell long, node long, side int, nodes array<long>, set_id binary")
+        near = near.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(lambda b: _by_minima(b, 0 if exact else AGREE), "cell long, node long, side int, nodes array<long>, set_id binary")
         near = materialize(near, "near")
         wanted = near.select("set_id").distinct().join(sets.select("set_id", "pick", "copies"), "set_id").select("set_id", "copies", "pick.key", "pick.text_hash")
         stored = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
         texts = wanted.join(stored, wanted["key"].eqNullSafe(stored["key"]) & (wanted["text_hash"] == stored["text_hash"])).select("set_id", "copies", "text")
-        exact = near.join(texts, "set_id").select("cell", "node", "side", "nodes", "set_id", "copies", "text")
-        links = materialize(exact.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_exactly, "set_id binary, least binary, links long"), "links")
+        paired = near.join(texts, "set_id").select("cell", "node", "side", "nodes", "set_id", "copies", "text")
+        links = materialize(paired.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_exactly, "set_id binary, least binary, links long"), "links")
         classes = components(links)
         counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
         of = sets.join(classes, "set_id", "left").join(counts, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
@@ -324,20 +330,21 @@ def _classified(docs: DataFrame, key: str, text: str, recall: float) -> tuple[Da
     return rows, classes
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL, exact: bool = False) -> DataFrame:
     """One row for each row of docs: its key, class_id (the least key of its class) and n_links (other rows with similarity 0.8 or more).
 
     Rows with equal shingle sets are similar and are compared once. A text without words has no links and is a class of its own key. A
-    text of under five words is one shingle. Null keys come after all others in a class. An empty table gives an empty result.
+    text of under five words is one shingle. Null keys come after all others in a class. An empty table gives an empty result. ``exact`` compares
+    all different sets, block by block, in place of those that meet on a path: no link is missed, and work grows with their square.
     """
-    rows, of = _classified(docs, key, text, recall)
+    rows, of = _classified(docs, key, text, recall, exact)
     out = rows.select("key", "set_id").join(of.select("set_id", F.col("least.key").alias("class_id"), "n_links"), "set_id", "left")
     return out.select(F.col("key").alias(key), F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """docs with one row of each class, that of the least key; of rows without words, equal ones are kept once. Columns stay."""
-    rows, of = _classified(docs, key, text, recall)
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL, exact: bool = False) -> DataFrame:
+    """docs with one row of each class, that of the least key; of rows without words, equal ones are kept once. Columns stay. ``exact`` as in join()."""
+    rows, of = _classified(docs, key, text, recall, exact)
     kept = of.where(F.col("pick").eqNullSafe(F.col("least"))).select(F.col("pick.key").alias("__key"), F.col("pick.text_hash").alias("__hash"))
     kept = kept.unionByName(rows.where("set_id IS NULL").select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))).distinct()
     hashed = docs.withColumn("__own", F.xxhash64(text))

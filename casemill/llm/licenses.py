@@ -178,8 +178,12 @@ def oracle() -> str:
     cases = " ".join(f"WHEN regexp_full_match(m, '(?:{p})') THEN '{n}'" for p, n, _ in RULES)
     kinds = " ".join(f"WHEN x = '{n}' THEN '{k}'" for _, n, k in RULES)
 
+    gap = r"[ \t\r\n]+"
+    grant = gap.join("subject to the following conditions:".split()), gap.join("the above copyright notice".split())
+    joined = f"regexp_replace(lower(text), '({grant[0]}){gap}({grant[1]})', '\\1 \\2', 'g')"
+
     def ids(wrapped: bool) -> str:
-        low = "regexp_replace(lower(text), '\\n[ \\t\\r]*\\n', chr(1), 'g')" if wrapped else "replace(lower(text), chr(10), chr(1))"
+        low = f"regexp_replace({joined}, '\\n[ \\t\\r]*\\n', chr(1), 'g')" if wrapped else f"replace({joined}, chr(10), chr(1))"
         cut = f"regexp_replace(regexp_replace({low}, '{END}', chr(1), 'g'), '{OTHER}', ' ', 'g')"
         parts = f"list_filter(list_transform(string_split({cut}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
         marks = f"array_to_string(list_transform({parts}, lambda s: coalesce([{quoted(known.values())}][list_position([{quoted(known)}], s)], '.')), '')"

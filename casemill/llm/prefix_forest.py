@@ -67,7 +67,9 @@ class Forest:
         self.depths = np.arange(bits + 1)
 
     def depth_for(self, score: float, norm: float, target: float) -> int:
-        """The largest depth at which a row of this inner product with a query of this length is met with the target chance."""
+        """The largest depth at which a row of this inner product with a query of this length is met with the target chance; for certainty, 0."""
+        if target >= 1:
+            return 0
         angle = np.arccos(np.clip(score / (norm * self.longest), -1, 1))
         met = 1 - (1 - (1 - angle / np.pi) ** self.depths) ** self.trees
         return int(self.depths[met >= target].max())  # at depth 0 every row is met
@@ -207,7 +209,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = T
 
     vectors has vec_id and embedding. Vectors of one length are searched among themselves, each length by itself; those that aren't searchable
     take no part. Repeated rows are candidates as often as they come, a query's own id never; a query whose id has several vectors is
-    answered once, for the least of them. An empty table gives an empty result.
+    answered once, for the least of them. An empty table gives an empty result. A target of 1 looks at every row of each segment whose bound
+    allows a nearer one, which is exact.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))

@@ -106,3 +106,23 @@ def test_minima_estimate_similarity_and_products_count():
     i, j = np.triu_indices(30, 1)
     want = [len(set(sets[x].tolist()) & set(sets[y].tolist())) for x, y in zip(i, j)]
     assert cp._common(sets, i, j).tolist() == want == cp._common(sets, i[:400], j[:400]).tolist() + [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i[400:], j[400:])]
+
+
+def test_exact_way_misses_nothing(spark, monkeypatch):
+    """All pairs in blocks equal brute force, also those whose minima agree too seldom for any path."""
+    monkeypatch.setattr(cp, "BLOCK", 16)
+    rows = corpus(5, clusters=12, hot=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in cp.join(df, exact=True).collect()) == brute(rows)
+    monkeypatch.setattr(cp, "AGREE", 49)  # no path can find a pair now
+    assert sorted(tuple(r) for r in cp.join(df, exact=True).collect()) == brute(rows)
+    assert cp.join(df.limit(1), exact=True).count() == 1 and cp.join(df.limit(0), exact=True).count() == 0
+
+
+def test_recall_on_a_larger_table(spark):
+    """Against the exact way on a table with several hundred classes: links found, and documents in other classes."""
+    rows = corpus(9, clusters=400, hot=300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").where("doc_id IS NOT NULL")
+    found = {(r.doc_id, i): (r.class_id, r.n_links) for i, r in enumerate(sorted(cp.join(df).collect()))}
+    exact = {(r.doc_id, i): (r.class_id, r.n_links) for i, r in enumerate(sorted(cp.join(df, exact=True).collect()))}
+    assert sum(n for _, n in found.values()) >= 0.998 * sum(n for _, n in exact.values()) > 0

@@ -157,3 +157,13 @@ def test_halves_far_apart_and_near_misses(spark):
     ]
     got = {r.doc_id: r.licenses for r in li.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")).collect()}
     assert got == {k: want for k, _, want in rows}
+
+
+def test_sql_reads_whole_files_too(spark):
+    """MIT's grant stands over a blank line; Spark and SQL both read it as one sentence."""
+    texts = [MIT, MIT.replace("\n\n", "\n \n"), BSD, GRANT, AS_IS, MIT.replace("conditions:", "conditions"), APACHE]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in li.scan(df).collect())
+    documents = df.toPandas()  # noqa: F841  read by name
+    assert got == sorted(duckdb.connect().sql(li.oracle()).fetchall())
+    assert [r[2] for r in got][:2] == ["MIT", "MIT"] and "MIT" not in got[5][2]

@@ -69,3 +69,13 @@ def test_odd_vectors_ties_and_few_rows(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in prefix_forest.nearest(mixed, F.col("vec_id") % 20 == 0, 3).collect()] == [(20, 21, 1.0)]
     assert prefix_forest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert prefix_forest.nearest(df.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_a_target_of_one_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "SEGMENT", 400)
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((1500, 24)) * rng.lognormal(0, 0.5, (1500, 1))).astype(np.float32).astype(float)
+    got = {}
+    for r in prefix_forest.nearest(frame(spark, x), F.col("vec_id") % 20 == 0, 7, target=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [v for _, v in sorted(rows)] for q, rows in got.items()} == {q: [i for _, i in brute(x, q, 7)] for q in range(0, 1500, 20)}
