@@ -14,7 +14,7 @@ from casemill.functions.text import verhoeff
 from casemill.operators.casefile import FROM_NUMBER, KINDS, REPLY_FIELDS, SOURCES
 from casemill.operators.screen import DOCUMENTS, NEEDED, TITLES
 from casemill.operators.screen_queries import _CODE, _LAST4, NAMED, NAMES, PERSON, findings_sql
-from casemill.sources.views import pick, table
+from casemill.sources.views import pick, spread, table
 
 #: Image: (kind, whether an order has it, whether its last reading failed).
 IMAGES = {
@@ -76,7 +76,7 @@ def reply_field(image: str, field: str, duck: bool) -> tuple[str, str, str]:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey")
     return o.select(F.col("o_orderkey").alias("k"), F.expr(PERSON).alias("p"), F.col("o_totalprice").alias("price"), F.date_format(F.col("o_orderdate"), "yyyy-MM-dd").alias("received"))
 
 

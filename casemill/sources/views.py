@@ -91,6 +91,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over as many partitions as there are cores, by a key, if it has fewer: a small file is one task's otherwise, whatever is made of its rows."""
+    enough = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= enough else df.repartition(enough, key)
+
+
 def cases(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
     """One row an application, from one scan; no district, see with_district().
 
