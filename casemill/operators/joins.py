@@ -89,9 +89,9 @@ FROM now n FULL OUTER JOIN sealed s ON n.audit_id = s.audit_id, head) GROUP BY p
 def join_full_outer_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows against what was sealed of them: modified, deleted, inserted up to the last sealed row, or not sealed yet."""
     log = audit_log(spark, sf_dir)
-    last = log.agg(F.max("audit_id")).first()[0] or 0
-    sealed = log.where((F.col("audit_id") % 17 != 0) & (F.col("audit_id") <= last * 9 // 10)).select("audit_id", F.col("action").alias("sealed_action")).union(spark.sql("SELECT -1L, 'ghost'"))
-    head = sealed.agg(F.max("audit_id")).first()[0]
+    last = log.agg(F.max("audit_id")).scalar()  # part of the plan, as the head below: nothing runs while the query is built
+    sealed = log.where((F.col("audit_id") % 17 != 0) & (F.col("audit_id") <= F.floor(last * 9 / 10))).select("audit_id", F.col("action").alias("sealed_action")).union(spark.sql("SELECT -1L, 'ghost'"))
+    head = sealed.agg(F.max("audit_id")).scalar()
     now = log.where("audit_id % 333 <> 0").select("audit_id", F.when(F.col("audit_id") % 501 == 0, "edited").otherwise(F.col("action")).alias("action"), F.lit(True).alias("here"))
     both = now.join(sealed.withColumn("there", F.lit(True)), "audit_id", "full_outer")
     problem = F.when(F.col("here").isNull(), "deleted").when(F.col("there").isNull() & (F.col("audit_id") <= head), "inserted").when(F.col("there").isNull(), "unsealed").when(F.col("action") != F.col("sealed_action"), "modified").otherwise("ok")
