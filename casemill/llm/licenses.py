@@ -67,6 +67,33 @@ SENTENCES = {
     "y": "As a special exception, the copyright holders of this library give you permission to link this library with independent modules to produce an executable, regardless of the license terms of these independent modules",
     "z": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+# Licenses by their public short identifiers, with their kind and the names that notices use.
+NOTICED = {
+    "permissive": {
+        "MIT": ("MIT License", "MIT license"), "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License, Version 2"), "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "2-clause BSD License"),
+        "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License", "3-clause BSD License"), "BSD-4-Clause": ("BSD 4-Clause License",), "ISC": ("ISC License",), "Zlib": ("zlib License",), "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"), "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"),
+        "Unlicense": ("Unlicense",), "CC0-1.0": ("Creative Commons CC0 1.0 Universal License", "CC0 1.0 License"), "WTFPL": ("WTFPL License",), "Artistic-2.0": ("Artistic License 2.0",), "PostgreSQL": ("PostgreSQL License",), "Python-2.0": ("Python License 2.0",), "PHP-3.01": ("PHP License, version 3.01",), "Ruby": ("Ruby License",), "OpenSSL": ("OpenSSL License",),
+        "NCSA": ("University of Illinois/NCSA Open Source License",), "X11": ("X11 License",), "curl": ("curl License",), "Libpng": ("libpng License",), "FTL": ("FreeType Project License",), "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"), "MIT-0": ("MIT No Attribution License",), "AFL-3.0": ("Academic Free License 3.0",), "ECL-2.0": ("Educational Community License, Version 2.0",),
+        "MulanPSL-2.0": ("Mulan PSL v2 License",), "BlueOak-1.0.0": ("Blue Oak Model License 1.0.0",), "UPL-1.0": ("Universal Permissive License 1.0",), "Vim": ("Vim License",), "ZPL-2.1": ("Zope Public License 2.1",), "W3C": ("W3C Software Notice and License",), "TCL": ("TCL/TK License",), "ICU": ("ICU License",), "HPND": ("Historical Permission Notice and Disclaimer License",),
+        "CC-BY-4.0": ("Creative Commons Attribution 4.0 License", "CC BY 4.0 License"), "CC-BY-3.0": ("Creative Commons Attribution 3.0 License", "Creative Commons Attribution 3.0 Unported License", "CC BY 3.0 License"), "CC-BY-2.0": ("Creative Commons Attribution 2.0 License", "CC BY 2.0 License"),
+    },
+    "copyleft": {
+        "GPL-2.0-only": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GPLv2 license"), "GPL-2.0-or-later": ("GNU General Public License, version 2 or later", "GPLv2 or later license"), "GPL-3.0-only": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GPLv3 license"), "GPL-3.0-or-later": ("GNU General Public License, version 3 or later", "GPLv3 or later license"),
+        "LGPL-2.0-only": ("GNU Library General Public License, version 2",), "LGPL-2.0-or-later": ("GNU Library General Public License, version 2 or later",), "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1", "LGPLv2.1 license"), "LGPL-2.1-or-later": ("GNU Lesser General Public License, version 2.1 or later",), "LGPL-3.0-only": ("GNU Lesser General Public License, version 3", "LGPLv3 license"), "LGPL-3.0-or-later": ("GNU Lesser General Public License, version 3 or later",),
+        "AGPL-3.0-only": ("GNU Affero General Public License, version 3", "AGPLv3 license"), "AGPL-3.0-or-later": ("GNU Affero General Public License, version 3 or later",), "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"), "MPL-1.1": ("Mozilla Public License 1.1", "Mozilla Public License, version 1.1"), "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0"), "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+        "EUPL-1.2": ("European Union Public Licence 1.2",), "CDDL-1.0": ("Common Development and Distribution License 1.0", "Common Development and Distribution License, version 1.0"), "CPL-1.0": ("Common Public License 1.0",), "OSL-3.0": ("Open Software License 3.0",), "MS-RL": ("Microsoft Reciprocal License",), "GFDL-1.3-only": ("GNU Free Documentation License, version 1.3",), "GFDL-1.3-or-later": ("GNU Free Documentation License, version 1.3 or later",),
+        "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 License", "CC BY-SA 4.0 License"), "CC-BY-SA-3.0": ("Creative Commons Attribution-ShareAlike 3.0 License", "Creative Commons Attribution-ShareAlike 3.0 Unported License", "CC BY-SA 3.0 License"), "CECILL-2.1": ("CeCILL License, version 2.1",), "QPL-1.0": ("Q Public License 1.0",),
+    },
+    "noncommercial": {"CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 License",), "CC-BY-NC-3.0": ("Creative Commons Attribution-NonCommercial 3.0 License",), "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0 License",), "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0 License",)},
+    "restricted": {"SSPL-1.0": ("Server Side Public License, version 1",), "BUSL-1.1": ("Business Source License 1.1",), "Elastic-2.0": ("Elastic License 2.0",), "CC-BY-ND-4.0": ("CC BY-ND 4.0 License",)},
+}
+TAG = "SPDX-License-Identifier: {}"
+#: How notices begin; each with each name is a known sentence, as is the tag with the identifier.
+PHRASES = (
+    "Licensed under the {}", "Released under the {}", "Distributed under the {}", "Published under the {}", "Available under the {}", "Licensed under the terms of the {}", "Distributed under the terms of the {}", "Released under the terms of the {}", "This project is licensed under the {}",
+    "This project is licensed under the terms of the {}", "This software is licensed under the {}", "This software is released under the {}", "This software is distributed under the {}", "This library is licensed under the {}", "This program is licensed under the {}", "This file is licensed under the {}",
+    "This work is licensed under the {}", "This work is licensed under a {}", "This package is licensed under the {}", "This code is licensed under the {}", "This code is released under the {}", "The code is licensed under the {}", "The source code is licensed under the {}", "This document is licensed under the {}", "License: {}",
+)
 #: The most unknown sentences between two of one rule.
 GAP = 12
 #: Ordered rules: a pattern over identifiers, the license, and its kind. Longer statements come before the shorter ones they begin with.
@@ -107,6 +134,9 @@ RULES = (
     ("Y", "CC0-1.0", "permissive"),
     ("Z", "proprietary", "restricted"),
 )
+#: A licence's own one-character identifier, for its notices: from the private characters, as letters are used up.
+OF_NOTICE = {name: chr(0xE000 + i) for i, name in enumerate(n for names in NOTICED.values() for n in names)}
+RULES += tuple((OF_NOTICE[name], name, kind) for kind, names in NOTICED.items() for name in names)
 END, OTHER = r"[.!?]+([ \t\r\n]+|\z)", r"[^a-z0-9\x01]+"
 ALL = "|".join(f"(?:{p})" for p, *_ in RULES)
 #: Where a known sentence goes on after a blank line: sentence H, which licence files set as two paragraphs.
@@ -124,9 +154,18 @@ def _parts(sentence: str) -> list[str]:
     return [p for p in map(normalised, re.split(r"[.!?]+(?:[ \t\r\n]+|\Z)", sentence)) if p]
 
 
+def notices() -> dict[str, str]:
+    """Sentences that name a license, with its identifier: every phrase with every name, and the tag; those without a hint word are left out."""
+    said = {TAG.format(name): OF_NOTICE[name] for name in OF_NOTICE}
+    for names in NOTICED.values():
+        for name, titles in names.items():
+            said |= {phrase.format(title): OF_NOTICE[name] for title in titles for phrase in PHRASES}
+    return {s: k for s, k in said.items() if re.search(HINT, s.lower())}
+
+
 def table() -> dict[str, str]:
-    """Normalised sentence -> identifier; of a sentence that the scan cuts, its longest part stands for it."""
-    return {max(_parts(s), key=len): k for k, s in SENTENCES.items()}
+    """Normalised sentence -> identifier; of a sentence that the scan cuts, its longest part stands for it. Sentences written out come before made ones."""
+    return {max(_parts(s), key=len): k for s, k in notices().items()} | {max(_parts(s), key=len): k for k, s in SENTENCES.items()}
 
 
 def identifiers(text: Column, wrapped: bool) -> Column:
@@ -147,9 +186,9 @@ def of_rules(found: Column) -> Column:
 
     def of(m: Column) -> Column:
         name = out
-        for p, license_, _ in reversed(RULES):
+        for p, license_, _ in reversed(RULES[: -len(OF_NOTICE)]):
             name = F.when(m.rlike(f"^(?:{p})$"), license_).otherwise(name)
-        return name
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, k in OF_NOTICE.items() for x in (k, n)]), m), name)
 
     return F.transform(F.regexp_extract_all(found, F.lit(f"({ALL})"), F.lit(1)), of)
 

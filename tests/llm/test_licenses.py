@@ -134,6 +134,7 @@ WRAPPED = {
     "g": "EPL-2.0", "x": "EUPL-1.2", "m": "BSL-1.0", "opq": "Zlib", "r": "CC-BY-SA-4.0", "s": "CC-BY-ND-4.0", "t": "CC-BY-NC-ND-4.0", "u": "CC-BY-NC-SA-4.0", "w": "WTFPL",
 }
 FILES += [(textwrap.fill(". ".join(li.SENTENCES[c] for c in ids) + ".", 72), name) for ids, name in WRAPPED.items()]
+FILES += [(f"#!/bin/sh\n# SPDX-License-Identifier: {name}\necho", name) for name in li.OF_NOTICE]
 
 
 def test_wrapped_license_files(spark):
@@ -167,3 +168,24 @@ def test_sql_reads_whole_files_too(spark):
     documents = df.toPandas()  # noqa: F841  read by name
     assert got == sorted(duckdb.connect().sql(li.oracle()).fetchall())
     assert [r[2] for r in got][:2] == ["MIT", "MIT"] and "MIT" not in got[5][2]
+
+
+def test_every_notice_is_found_and_names_its_license(spark):
+    known = li.notices()
+    df = spark.createDataFrame([(i, f"Some prose about it.\n{s}.\nMore prose.") for i, s in enumerate(known)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in li.scan(df).collect()}
+    name_of = {k: n for n, k in li.OF_NOTICE.items()}
+    wrong = [(s, got[i]) for i, (s, k) in enumerate(known.items()) if got[i].split(" WITH")[0] != name_of[k]]
+    assert len(known) > 1000 and not wrong
+
+
+def test_notices_in_code_and_near_misses(spark):
+    rows = [
+        ("c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;", "GPL-2.0-or-later"), ("two", "// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0,MIT"), ("other", "# SPDX-License-Identifier: MITX", ""),
+        ("wrapped", "This project is licensed under the terms of the Mozilla\nPublic License 2.0.", "MPL-2.0"), ("word more", "This project is not licensed under the MIT License", ""), ("file and tag", "# SPDX-License-Identifier: MIT\n\n" + MIT, "MIT"), ("name alone", "The MIT License is short.", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in li.scan(df).collect())
+    assert [(rows[i][0], r[2]) for i, r in enumerate(got)] == [(k, want) for k, _, want in rows]
+    documents = df.toPandas()  # noqa: F841  read by name
+    assert got == sorted(duckdb.connect().sql(li.oracle()).fetchall())
