@@ -176,7 +176,8 @@ def identifiers(text: Column, wrapped: bool) -> Column:
     cut = F.regexp_replace(F.regexp_replace(low, END, "\x01"), OTHER, " ")
     parts = F.filter(F.transform(F.split(cut, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
     of = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    marks = F.array_join(F.transform(parts, lambda s: F.coalesce(F.try_element_at(of, s), F.lit("."))), "")
+    # the map is looked through from its start, so only sentences with a word that every known one holds are looked up
+    marks = F.array_join(F.transform(parts, lambda s: F.coalesce(F.when(s.rlike(HINT), F.try_element_at(of, s)), F.lit("."))), "")
     return F.replace(F.regexp_replace(marks, f"[.]{{{GAP + 1},}}", "_"), F.lit("."), F.lit(""))
 
 
