@@ -19,9 +19,13 @@ EXTENSIONS = {"jpeg": (".jpg", ".jpeg"), "png": (".png",), "webp": (".webp",), "
 
 def check_age(dob: Column, on: Column, least: int = MIN_AGE) -> Column:
     """eligible (null: not to be told), age and approximate (a year alone, of which the last day counts) on a day; dates as people write them."""
-    born, day = parse_date(dob), parse_date(on)
-    age = F.when(F.length(day) > 4, age_on(born, day))
-    return F.struct((age >= least).alias("eligible"), age.alias("age"), F.coalesce(age.isNotNull() & (F.length(born) == 4), F.lit(False)).alias("approximate"))
+    read = F.array(F.struct(parse_date(dob).alias("born"), parse_date(on).alias("day")))  # an array of one, so that dates are parsed once and used often
+
+    def judge(d: Column) -> Column:
+        age = F.when(F.length(d["day"]) > 4, age_on(d["born"], d["day"]))
+        return F.struct((age >= least).alias("eligible"), age.alias("age"), F.coalesce(age.isNotNull() & (F.length(d["born"]) == 4), F.lit(False)).alias("approximate"))
+
+    return F.get(F.transform(read, judge), F.lit(0))
 
 
 def check_income(income: Column, ceiling: float = CEILING) -> Column:
