@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators.screen import DOCUMENTS, EVIDENCE, Rules, screen, status
 from casemill.sources.buckets import Bucketed
-from casemill.sources.shared import materialize, temporaries
+from casemill.sources.shared import materialize, shuffled, temporaries
 
 APPROVED = "APPROVED"
 #: A stored finding: what the rules say, its key, and what officers decided.
@@ -34,7 +34,7 @@ def carried(fresh: DataFrame, before: DataFrame) -> DataFrame:
     """
     keyed = fresh.withColumn("flag_key", flag_key(F.col("code"), F.col("evidence")))
     last = before.groupBy("case_id", "flag_key").agg(F.max_by(F.struct(*DECISION), "place").alias("was"))
-    out = keyed.join(last, ["case_id", "flag_key"], "left")
+    out = keyed.join(shuffled(last), ["case_id", "flag_key"], "left")
     return out.select(*fresh.columns, "flag_key", F.coalesce("was.resolution", F.lit("OPEN")).alias("resolution"), *[F.col(f"was.{c}").alias(c) for c in DECISION[1:]])
 
 

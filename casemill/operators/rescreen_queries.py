@@ -10,6 +10,7 @@ from casemill.operators.casefile import screened as screened_again
 from casemill.operators.rescreen import DECISION, blocking, carried, flag_key, refreshed
 from casemill.operators.screen_queries import _SQL, FLAG_ROWS, RULES, screened
 from casemill.plans.registry import query
+from casemill.sources.shared import shuffled
 
 _RESOLVED = "CASE (case_id + place) % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACCEPTED' ELSE 'OVERRIDDEN' END"
 _KEY = "concat(code, '|', array_to_string(list_sort(regexp_extract_all(evidence, '(?:^|;)((?:form|card|passbook|epic)\\.[a-z0-9_]+)=', 1)), ','))"
@@ -43,4 +44,4 @@ SELECT case_id, CASE WHEN correct AND NOT doubled THEN 'NEEDS_CITIZEN_CORRECTION
 def rescreen_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every case with findings by what stands after the second screening, and how many findings are in the way of an approval."""
     kept = _kept(spark, sf_dir)
-    return refreshed(kept).join(blocking(kept).groupBy("case_id").agg(F.count("*").alias("n_blocking")), "case_id", "left").na.fill(0, ["n_blocking"])
+    return refreshed(kept).join(shuffled(blocking(kept).groupBy("case_id").agg(F.count("*").alias("n_blocking"))), "case_id", "left").na.fill(0, ["n_blocking"])
