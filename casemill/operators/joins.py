@@ -69,17 +69,40 @@ def same_dob(a: str, b: str) -> Column:
     return F.when((F.length(a) == 4) | (F.length(b) == 4), F.substring(a, 1, 4) == F.substring(b, 1, 4)).otherwise(F.col(a) == F.col(b))
 
 
+#: What makes two cases one person's.
+PERSON = ("last4", "birth_year", "dob", "c_name")
+
+
+def near_candidates(persons: DataFrame) -> DataFrame:
+    """Pairs (the second's columns begin with o_) of distinct persons that share digits, year and a name with at most one letter left out.
+
+    Names at most one edit apart share such a form, so none is missed, and a block of many persons with unlike names has no pairs.
+    """
+    left_out = F.transform(F.sequence(F.lit(0), F.length("c_name")), lambda i: F.xxhash64(F.concat(F.substr("c_name", F.lit(1), i - 1), F.substr("c_name", i + 1))))
+    forms = persons.where("c_name IS NOT NULL").withColumn("form", F.explode(F.array_distinct(left_out)))
+    other = forms.select("last4", "birth_year", "form", F.col("dob").alias("o_dob"), F.col("c_name").alias("o_c_name"))
+    return forms.join(other, ["last4", "birth_year", "form"]).where(F.struct("dob", "c_name") < F.struct("o_dob", "o_c_name")).drop("form")
+
+
+def near_persons(persons: DataFrame) -> DataFrame:
+    """Pairs of distinct persons whose dates agree and whose names are at most one edit apart, each once."""
+    pairs = near_candidates(persons).where(same_dob("dob", "o_dob") & (F.levenshtein("c_name", "o_c_name") <= 1)).distinct()
+    return pairs.withColumns({"o_last4": F.col("last4"), "o_birth_year": F.col("birth_year")})
+
+
 @query("join_duplicate_blocked", f"""WITH {CASES} SELECT a.case_id AS case_id, b.case_id AS other_id FROM cases a JOIN cases b ON a.last4 = b.last4 AND a.birth_year = b.birth_year AND b.case_id < a.case_id
  AND (a.dob = b.dob OR ((length(a.dob) = 4 OR length(b.dob) = 4) AND substr(a.dob, 1, 4) = substr(b.dob, 1, 4)))
  JOIN customer ca ON ca.c_custkey = a.applicant_id JOIN customer cb ON cb.c_custkey = b.applicant_id AND levenshtein(ca.c_name, cb.c_name) <= 1
  WHERE NOT a.historical AND NOT b.historical""")
 def join_duplicate_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suspected duplicates among earlier cases: blocked on last digits and birth year (lossless), then dates and names are compared."""
+    """Suspected duplicates among earlier cases: cases of one person, and of persons of equal digits, agreeing dates and names at most one edit apart."""
     named = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("applicant_id"), "c_name")
-    a = cases(spark, sf_dir).where("NOT historical AND last4 IS NOT NULL").select("case_id", "applicant_id", "last4", "birth_year", "dob").join(named, "applicant_id")
-    b = a.select(F.col("case_id").alias("other_id"), "last4", "birth_year", F.col("dob").alias("other_dob"), F.col("c_name").alias("other_name"))
-    pairs = a.join(b, ["last4", "birth_year"]).where((F.col("other_id") < F.col("case_id")) & same_dob("dob", "other_dob"))
-    return pairs.where(F.levenshtein("c_name", "other_name") <= 1).select("case_id", "other_id")
+    a = cases(spark, sf_dir).where("NOT historical AND last4 IS NOT NULL").select("case_id", "applicant_id", *PERSON[:3]).join(named, "applicant_id").select("case_id", *PERSON)
+    b = a.withColumnRenamed("case_id", "other_id")
+    own = a.join(b, list(PERSON)).where("other_id < case_id").select("case_id", "other_id")
+    there = b.withColumnsRenamed({c: f"o_{c}" for c in PERSON})
+    near = near_persons(a.select(*PERSON).distinct()).join(a, list(PERSON)).join(there, [f"o_{c}" for c in PERSON])
+    return own.unionByName(near.select(F.greatest("case_id", "other_id").alias("case_id"), F.least("case_id", "other_id").alias("other_id")))
 
 
 @query("join_full_outer_verify", f"""WITH {AUDIT}, sealed AS (SELECT audit_id, action AS sealed_action FROM audit_log WHERE audit_id % 17 <> 0 AND audit_id <= (SELECT max(audit_id) * 9 // 10 FROM audit_log) UNION ALL SELECT -1, 'ghost'),
