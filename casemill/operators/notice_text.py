@@ -95,10 +95,10 @@ def asked_of_citizen(flags: Column, resolved: bool = False) -> Column:
     return F.filter(flags, lambda f: (f["resolution"] != "OVERRIDDEN") & ((f["action"] == "citizen") | accepted(f)))
 
 
-def compiled(templates: dict = DEFAULT) -> Callable[..., Column]:
+def compiled(templates: dict = DEFAULT, scripts: tuple[str, ...] = SCRIPTS) -> Callable[..., Column]:
     """A function of columns (name, reference, date, district, items) to a notice.
 
-    It has a struct for each script (a text a block, and items), codes (of the templates used), pending (how many of the blocks and templates
+    It has a struct for each of ``scripts`` (a text a block, and items), codes (of the templates used), pending (how many of the blocks and templates
     used nobody has reviewed) and mayek ('auto' if any line of it was transliterated). Every text has its full identifiers masked.
     """
     templates = checked(templates)
@@ -140,14 +140,14 @@ def compiled(templates: dict = DEFAULT) -> Callable[..., Column]:
         def lines(script: str) -> Column:
             return F.transform(given, lambda i: line(i, script)).alias("items")
 
-        scripts = [F.struct(*[text(blocks[b], s).alias(b) for b in BLOCKS], lines(s)).alias(s) for s in SCRIPTS]
+        written = [F.struct(*[text(blocks[b], s).alias(b) for b in BLOCKS], lines(s)).alias(s) for s in scripts]
         codes = F.transform(given, lambda i: F.when(F.array_contains(known, i["code"]), i["code"]).otherwise("GENERIC"))
         unread = sum(not b["reviewed"] for b in templates["blocks"] if b["id"] in BLOCKS)
         drafts = [c for c, t in by_code.items() if not t["reviewed"]]
         pending = F.lit(unread) + (F.size(F.array_intersect(codes, F.array(*map(F.lit, drafts)))) if drafts else F.lit(0))
         bare = [c for c, t in by_code.items() if not t["mni_mtei"].strip()]
         auto = F.lit(any(not blocks[b]["mni_mtei"].strip() for b in BLOCKS)) | (F.arrays_overlap(codes, F.array(*map(F.lit, bare))) if bare else F.lit(False))
-        return F.struct(*scripts, codes.alias("codes"), pending.cast("int").alias("pending"), F.when(auto, "auto").otherwise("manual").alias("mayek"))
+        return F.struct(*written, codes.alias("codes"), pending.cast("int").alias("pending"), F.when(auto, "auto").otherwise("manual").alias("mayek"))
 
     return notice
 
@@ -212,5 +212,5 @@ def notice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = screened(spark, sf_dir).withColumn("asked", asked_of_citizen(F.col("flags"))).where("size(asked) > 0 AND name IS NOT NULL")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit("district "), (F.expr(PERSON) % 16).cast("string")).alias("district"))
     rows = s.select("case_id", "name", items(F.col("asked")).alias("items")).join(o, "case_id")
-    made = rows.select("case_id", compiled()(F.col("name"), F.concat(F.lit("CM-"), F.col("case_id").cast("string")), F.col("date"), F.col("district"), F.col("items")).alias("n"))
+    made = rows.select("case_id", compiled(scripts=("en", "mni_beng"))(F.col("name"), F.concat(F.lit("CM-"), F.col("case_id").cast("string")), F.col("date"), F.col("district"), F.col("items")).alias("n"))
     return made.select("case_id", plain(F.col("n"), "en").alias("english"), plain(F.col("n"), "mni_beng").alias("bengali"), F.array_join("n.codes", ",").alias("codes"), "n.pending")
