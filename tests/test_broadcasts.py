@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from casemill.operators import extraction, readings, scoring
+from casemill.operators import extraction, readings, scoring, screen
 from casemill.operators.casefile import screened
 from casemill.operators.rescreen import DECISION, carried
 from casemill.plans import catalog
@@ -55,3 +55,11 @@ def test_a_reply_is_parsed_once(spark):
     text = extraction._read(spark, SF).where("outcome = 'extracted'")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in text.splitlines() if line.lstrip(" +-:").startswith("Filter")]
     assert filters and not any("from_json" in line for line in filters)
+
+
+@pytest.mark.parametrize("name", ["screen_flags", "screen_stored_flags"])
+def test_persons_and_duplicates_are_not_broadcast(spark, monkeypatch, name):
+    made, write = [], screen.materialize
+    monkeypatch.setattr(screen, "materialize", lambda df, what: made.append(df) or write(df, what))
+    made.append(catalog.QUERIES[name](spark, SF))
+    assert len(made) == 4 and not any(map(sent_round, made))
