@@ -57,7 +57,7 @@ def test_a_reply_is_parsed_once(spark):
     assert filters and not any("from_json" in line for line in filters)
 
 
-@pytest.mark.parametrize("name", ["screen_flags", "screen_stored_flags"])
+@pytest.mark.parametrize("name", ["screen_flags", "screen_stored_flags", "eval_status"])
 def test_persons_and_duplicates_are_not_broadcast(spark, monkeypatch, name):
     made, write = [], screen.materialize
     monkeypatch.setattr(screen, "materialize", lambda df, what: made.append(df) or write(df, what))
