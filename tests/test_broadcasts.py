@@ -63,3 +63,18 @@ def test_persons_and_duplicates_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(screen, "materialize", lambda df, what: made.append(df) or write(df, what))
     made.append(catalog.QUERIES[name](spark, SF))
     assert len(made) == 4 and not any(map(sent_round, made))
+
+
+def test_joins_of_eval_status_stay_shuffles_as_they_run(spark, monkeypatch):
+    """On tables this small Spark would send round every side, once it has seen its size, that isn't held to a shuffle."""
+    ran, write = [], screen.materialize
+
+    def run(df):
+        df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(screen, "materialize", lambda df, what: write(run(df), what))
+    run(catalog.QUERIES["eval_status"](spark, SF))
+    assert len(ran) == 4 and all("isFinalPlan=true" in plan for plan in ran)
+    assert not [line for plan in ran for line in plan.splitlines() if "Broadcast" in line]
